@@ -1,11 +1,15 @@
-"""The queries registered for the engine's own operators."""
+"""The queries registered for the engine's own operators, each with DuckDB SQL for the same result."""
 
 from __future__ import annotations
 
+from . import batch, records, search, text
+
+_PARTS = search, records, text, batch
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, (f, _) in part.REGISTERED.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, (_, sql) in part.REGISTERED.items() if sql}
