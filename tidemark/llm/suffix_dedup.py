@@ -160,17 +160,33 @@ def _settle(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return items, same
 
 
+def _packed(items: np.ndarray) -> bytes:
+    """Column after column, places as differences: of items in order of document and place little is left to move."""
+    return b"".join((np.diff(items[n], prepend=np.uint32(0)) if n == "x" else items[n]).tobytes() for n in items.dtype.names)
+
+
+def _unpacked(data: memoryview, kind: np.dtype) -> np.ndarray:
+    items = np.empty(len(data) // kind.itemsize, kind)
+    at = 0
+    for n in kind.names:
+        size = kind[n].itemsize * len(items)
+        column = np.frombuffer(data[at : at + size], kind[n])
+        items[n] = np.cumsum(column, dtype=np.uint32) if n == "x" else column
+        at += size
+    return items
+
+
 def _deal(items: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Settle what meets in this batch, then send items to their buckets; settled ones to any, by document."""
     items, same = _settle(items)
     items["kind"][same] = _REPEAT
     to = np.where(same, _mix(items["k"].view(U)), items["q"]) >> U(20)
     to = (to % U(buckets)).astype(np.int32)
-    order = np.argsort(to, kind="stable")
+    order = np.lexsort((items["x"], items["k"], to))
     items, to = items[order], to[order]
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, int)
     ends = np.concatenate([cuts[1:], [len(to)]]) if len(to) else cuts
-    yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array([items[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "items"])
+    yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array([_packed(items[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "items"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
@@ -182,7 +198,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np
                 yield np.concatenate(held)
                 held = []
             at = bucket
-            held.append(np.frombuffer(items.as_buffer(), kind))
+            held.append(_unpacked(memoryview(items.as_buffer()), kind))
     if held:
         yield np.concatenate(held)
 
