@@ -14,16 +14,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The documents with the texts of (doc_id, text), and the length of those."""
-    rest = docs.select(F.col("doc_id"), "lang", "source")
+    """A row for each of (doc_id, text), with the language and source of its doc_id and its own length.
+
+    Repeated rows stay as many; of rows that share a doc_id, the least language and source are taken.
+    """
+    rest = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
     new = texts.select(F.col("doc_id").alias("id"), "text", F.char_length("text").cast("long").alias("n_chars"))
-    return rest.join(new, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "lang", "source", "n_chars")
+    return new.join(rest, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in kept; a null one is like any other."""
+    ids = kept.select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good."""
     scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scores.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    return _only(docs, scores.where("predicted = 1"))
 
 
 def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +42,7 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class, the one of least doc_id."""
-    kept = simhash.simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    return _only(docs, simhash.simhash_components(docs).where("doc_id <=> component_id"))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
