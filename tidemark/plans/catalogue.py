@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, records, search, text
+from . import batch, evidence, ranking, records, search, text
 
-_PARTS = search, records, text, batch
+_PARTS = search, ranking, records, evidence, text, batch
 
 
 def queries() -> dict:
