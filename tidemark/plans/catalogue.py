@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, evidence, ranking, records, search, text
+from . import batch, evidence, extract, ranking, records, search, text
 
-_PARTS = search, ranking, records, evidence, text, batch
+_PARTS = search, ranking, records, evidence, text, extract, batch
 
 
 def queries() -> dict:
