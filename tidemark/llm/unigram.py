@@ -124,6 +124,7 @@ class Unigram:
     trie: DoubleArray = field(init=False)
     scores: np.ndarray = field(init=False)
     bytes_: np.ndarray = field(init=False)
+    raw: list[bytes] = field(init=False)
 
     def __post_init__(self) -> None:
         usable = {p.encode(): i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER_DEFINED)}
@@ -136,6 +137,7 @@ class Unigram:
         for i, (p, _, kind) in enumerate(self.pieces):
             if kind == BYTE:
                 self.bytes_[int(p[3:5], 16)] = i
+        self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in self.pieces]
 
     def best(self, words: list[bytes]) -> list[list[int]]:
         """The best pieces of each word; all are decoded together, a byte position at a time."""
@@ -217,11 +219,8 @@ class Unigram:
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of identifiers: bytes joined, markers as spaces, without the first."""
-        out, raw = [], bytearray()
-        for i in ids:
-            p, _, kind = self.pieces[i]
-            raw += bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode()
-        out = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return out[1:] if out[:1] == " " else out
 
 
