@@ -1,5 +1,7 @@
 """Every registered query of the engine's own operators against its SQL, over the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -21,7 +23,7 @@ def db():
 def plain(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = [None if pd.isna(x) else round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in df[c]]
+        df[c] = [None if pd.isna(x) else round(float(x), 4) if isinstance(x, numbers.Real) and not isinstance(x, bool) else str(x) for x in df[c]]
     return sorted(map(tuple, df.astype(object).where(df.notna(), None).values.tolist()), key=repr)
 
 
