@@ -87,10 +87,13 @@ def _any(text: Column, words: str) -> Column:
 
 def quadrant(text: Column, tags: Column, intensity: Column, peak: Column, labels: Column, role: Column, source: Column) -> Column:
     """The quadrant with the most votes of keywords, tags, feeling, role and source; the first of equals; without any, work."""
-    low, none = F.lower(F.coalesce(text, F.lit(""))), F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
     own = F.transform(F.coalesce(tags, none), lambda t: F.lower(t))
+    # the text is put in lower case once and then searched for each list of words
+    held = lambda low: F.array(*(F.size(F.filter(F.array(*map(F.lit, words.split(","))), lambda w: low.contains(w))) for words in QUADRANTS.values()))
+    counts = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), held)[0]
     tagged = lambda q: F.size(F.filter(own, lambda t: t.isin(*QUADRANT_TAGS[q].split(","))))
-    votes = {q: sum((low.contains(w).cast("int") for w in words.split(",")), F.lit(0.0)) + 2 * tagged(q) for q, words in QUADRANTS.items()}
+    votes = {q: counts[n] + 2.0 * tagged(q) for n, q in enumerate(QUADRANTS)}
     yes = lambda c, n: F.when(c, n).otherwise(0.0)
     votes["soul"] += yes(intensity >= 7, 2.0) + yes(peak, 3.0) + 0.5 * F.size(F.coalesce(labels, none))
     votes["core"] += yes(role == "ai", 1.0) + yes(source == "seed", 2.0)

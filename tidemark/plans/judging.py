@@ -110,13 +110,18 @@ def bloom_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HIT = {k: "(" + " OR ".join(f"contains(low, '{w}')" for w in words.split(",")) + ")" for k, (words, _, _) in S.FEELINGS.items()}
+_SHOWN = {k: "(" + " OR ".join(f"contains(text, '{x}')" for x in signs) + ")" for k, signs in S.SIGNS.items()}
+
+
+def _strongest(first: str, hits: dict[str, str]) -> str:
+    return f"greatest({first}, {', '.join(f'CASE WHEN {hit} THEN {S.FEELINGS[k][1]} END' for k, hit in hits.items())})"
 
 
 @query(rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM conversations),
-f AS (SELECT conv_id, turn, least(greatest(0.0, {', '.join(f"CASE WHEN {_HIT[k]} THEN {i} END" for k, (_, i, _) in S.FEELINGS.items())}) + CASE WHEN contains(text, '!') THEN 1 ELSE 0 END
-  + CASE WHEN regexp_matches(text, '\p{{Lu}}') AND NOT regexp_matches(text, '\p{{Ll}}') AND len(text) > 10 THEN 2 ELSE 0 END, 10.0) AS intensity,
-  list_filter([{', '.join(f"CASE WHEN {_HIT[k]} THEN '{k}' END" for k in S.FEELINGS)}], lambda k: k IS NOT NULL) AS ks FROM c)
-SELECT conv_id, turn, CAST(intensity AS DOUBLE) AS intensity, CASE WHEN len(ks) = 0 THEN 'neutral' ELSE array_to_string(ks, ',') END AS labels FROM f""")
+f AS (SELECT conv_id, turn, text, least({_strongest('0.0', _HIT)} + CASE WHEN contains(text, '!') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '\p{{Lu}}') AND NOT regexp_matches(text, '\p{{Ll}}') AND len(text) > 10 THEN 2 ELSE 0 END, 10.0) AS said,
+  list_filter([{', '.join(f"CASE WHEN {_HIT[k]} THEN '{k}' END" for k in S.FEELINGS)}, {', '.join(f"CASE WHEN {_SHOWN[k]} AND NOT {_HIT[k]} THEN '{k}' END" for k in S.SIGNS)}], lambda k: k IS NOT NULL) AS ks FROM c)
+SELECT conv_id, turn, CAST({_strongest('said', _SHOWN)} AS DOUBLE) AS intensity, CASE WHEN len(ks) = 0 THEN 'neutral' ELSE array_to_string(ks, ',') END AS labels FROM f""")
 def emotion_detect(spark: SparkSession, d: str) -> DataFrame:
     """The feelings of each turn and how strong they are."""
     f = S.feeling(F.col("text"))
