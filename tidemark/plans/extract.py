@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..functions.wording import resolve_dates
+from ..operators import spelling
 from ..sources.tables import MEMORIES_SQL, memories, table
 
 REGISTERED: dict = {}
@@ -174,3 +176,18 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
     out = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, chunk int, start long, text string")
     return out.select("doc_id", "chunk", "start", F.substring(F.md5(F.concat_ws(":", "start", "text")), 1, 12).alias("chunk_id"), "text")
+
+
+@query()
+def relative_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's text with the day that its relative dates mean, seen from the day it was made. SQL cannot express it."""
+    return memories(spark, d).select("id", resolve_dates(F.col("content"), F.to_date("created_at")).alias("text"))
+
+
+@query()
+def spell_correct(spark: SparkSession, d: str) -> DataFrame:
+    """Texts corrected by the words that twenty documents hold. SQL cannot express it."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
+    common = words.groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return spelling.correct(docs, common.select("word"))
