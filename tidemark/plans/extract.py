@@ -186,8 +186,8 @@ def relative_dates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spell_correct(spark: SparkSession, d: str) -> DataFrame:
-    """Texts corrected by the words that twenty documents hold. SQL cannot express it."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
+    """Turns of conversations, numbered by both of their keys, corrected by the words that twenty turns hold. SQL cannot express it."""
+    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    words = turns.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("word"))
     common = words.groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-    return spelling.correct(docs, common.select("word"))
+    return spelling.correct(turns, common.select("word")).select("id.conv_id", "id.turn", "text", "n_fixed")
