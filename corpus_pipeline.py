@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, pii, quality, simhash
+from tidemark.llm import line_dedup, near_copies, packing, pii, quality
 from tidemark.llm.common import new_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,8 +41,8 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class, the one of least doc_id."""
-    return _only(docs, simhash.simhash_components(docs).where("doc_id <=> component_id"))
+    """One document of each class of near copies (five-word shingles, Jaccard 0.8), the one of least doc_id."""
+    return near_copies.first_copies(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", good_quality),
     ("line dedup", no_repeated_lines),
-    ("SimHash near-dedup", no_near_duplicates),
+    ("shingle near-dedup", no_near_duplicates),
     ("PII", no_personal_data),
     ("best-fit packing", packed),
 ]
