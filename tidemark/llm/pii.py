@@ -93,6 +93,11 @@ def _is_phone(d: str) -> bool:
     return len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"
 
 
+def _written_as_phone(text: str) -> bool:
+    """With +1 or brackets, any ten digits are meant as a phone number, also with an area code that is not given out."""
+    return text.startswith("+1") or "(" in text
+
+
 def _is_ssn(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -136,9 +141,9 @@ def _number(p: Pseudonyms, m: re.Match) -> tuple[str, str]:
         return "ssn", p.digits(text, "ssn", _is_ssn)
     if kind == "card" and _is_card(d):
         return "card", p.digits(text, "card", end=lambda x: luhn_digit(x[: len(d) - 1]) if len(x) >= len(d) - 1 else "0")
-    if kind == "phone" and _is_phone(d[-10:]):
+    if kind == "phone" and ((given_out := _is_phone(d[-10:])) or _written_as_phone(text)):
         cut = len(text) - len(re.search(r"(?:\D*\d){10}$", text)[0])
-        return "phone", text[:cut] + p.digits(text[cut:], "phone", _is_phone)
+        return "phone", text[:cut] + p.digits(text[cut:], "phone", lambda x: _is_phone(x) == given_out)
     if kind == "world" and 8 <= len(d) <= 15:
         cut = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d{2}", text).end()
         return "phone", text[:cut] + p.digits(text[cut:], f"phone{text[:cut]}")
