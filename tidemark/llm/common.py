@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null identifier while rows are joined; it sorts after every other.
 NULL_KEY = 2**63 - 1
+#: Temporary folders that this process has made on a local master, by application.
+_MADE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns (k, text): the identifier with nulls as NULL_KEY, and the text with nulls as ''.
 
-    Other columns are left behind, so their names cannot clash with those an operator adds.
+    Other columns are left behind, so their names cannot clash with those an operator adds. An identifier must be a
+    whole number below NULL_KEY: in ANSI mode, Spark's default, one that cannot be read as a long ends the job with an
+    error (otherwise it counts as null), and NULL_KEY itself counts as null.
     """
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY)).alias("k"),
@@ -32,19 +36,36 @@ def id_of(key: Column) -> Column:
     return F.when(key != F.lit(NULL_KEY), key)
 
 
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns (k, t, text): keyed() with a hash of the text, so rows that share an identifier are told apart by their texts."""
+    return keyed(docs, id_col, text_col).select("k", F.xxhash64("text").alias("t"), "text")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of this machine only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
+    """The folder of spark.checkpoint.dir. Only a local master, which has no other machines, gets a temporary one where that is unset."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not (got := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():  # noqa: SLF001
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()  # noqa: SLF001
-    return got.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _MADE[app]
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application in the shared one; nothing in it is needed once the application has ended."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that the operators of this application have written to the shared folder; results must have been read."""
+    remove(spark, scratch(spark))
 
 
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -59,12 +80,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for each node of an undirected graph of long nodes.
 
     Alternates large-star and small-star contraction until the edges stay as they are. Every round is two joins on the
     node and is written to the shared folder, so neither lineage nor driver memory grows with the graph. A hub's rows
-    are joined, never collected, so a skewed join can be split. Nulls and self-loops are ignored.
+    are joined, never collected, so a skewed join can be split. Rounds go on until nothing changes; their number grows
+    with the logarithm of the longest chain. Nulls and self-loops are ignored.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
@@ -72,7 +94,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, path = materialise(e, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -86,8 +108,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
