@@ -20,7 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_pseudonyms(table(spark, sf_dir, "documents"))
+    return pii.pii_pseudonyms(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
