@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, id_of, keyed, materialise
 
 SEED = 42
-SEGMENTS, SEGMENT_BITS = 2, 32
-#: A bucket of the segment table up to this size is compared pair by pair; larger ones take the way of _through_midpoints().
-PAIRWISE = 24
+#: Segments of a fingerprint, and the radius of the ball that is enumerated in each: links have at most SEGMENTS * RADIUS differing bits.
+SEGMENTS, SEGMENT_BITS, RADIUS = 2, 32, 1
 _BLOCK = 1 << 16
 
 
@@ -32,6 +31,14 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the 64-bit hashes; without any, 0."""
+    if not len(hashes):
+        return 0
+    ones = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(k, fp): one row per row of docs, the fingerprint as a signed long."""
 
@@ -43,63 +50,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed(docs, id_col, text_col).mapInArrow(run, "k long, fp long")
 
 
-def _segment(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-
-
-def _flips(of: Column, bits: int) -> Column:
-    return F.array(*(of.bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in range(bits)))
+def _ball(fp: Column, segment: int) -> list[Column]:
+    """The words that differ from a fingerprint in one bit of one segment."""
+    bits = range(SEGMENT_BITS * segment, SEGMENT_BITS * (segment + 1))
+    return [fp.bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in bits]
 
 
-def _through_midpoints(fps: DataFrame) -> DataFrame:
-    """Edges that connect whatever lies within 2 bits of each other, in 65 rows a fingerprint however close they lie.
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, of distinct fingerprints (fp) that differ in at most 2 bits; their components are those of all such pairs.
 
-    Two fingerprints differ in 2 bits at most exactly if a word lies within 1 bit of both. At most 65 fingerprints lie
-    within 1 bit of a word, so its group is bounded; linking each with the group's least keeps the group connected.
+    The table of words is keyed by what lies in the ball of radius 1 around each segment of a fingerprint, the other
+    segment beside it. Two fingerprints differ in 2 bits at most exactly if they meet under a word: under the first
+    itself if one bit differs; under one that takes one flip from each otherwise, whether both flips fall into one
+    segment or into two. So a fingerprint makes 65 rows however many lie close to it, and a word has at most 65
+    fingerprints. All of a word are linked to its least, which keeps them together, and every link is verified over
+    all 64 bits.
     """
-    balls = fps.select("fp", F.explode(F.concat(F.array("fp"), _flips(F.col("fp"), 64))).alias("word"))
-    groups = balls.groupBy("word").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)
-    return groups.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
-
-
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints with at most 2 differing bits.
-
-    With two segments, one of them differs in 1 bit at most. A fingerprint is looked up in the table of each segment
-    under its own value and under each value with one of its set bits cleared: of two values one bit apart, one has
-    it set. Matches are verified over all 64 bits. Members of buckets over PAIRWISE, and of buckets a bit from those,
-    are linked through midpoints instead, which is exact and linear in them.
-    """
-    if distance != 2:
-        raise ValueError("two segments with balls of radius 1 serve a distance of 2")
-    seg = [F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), i).alias("value")) for i in range(SEGMENTS)]
-    rows = fps.select("fp", F.explode(F.array(*seg)).alias("s")).select("fp", "s.seg", "s.value")
-    hot = rows.groupBy("seg", "value").count().where(F.col("count") > PAIRWISE).select("seg", "value")
-    table = rows.join(hot, ["seg", "value"], "left_anti")
-    ball = F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: F.col("value").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    probes = table.select(F.col("fp").alias("of"), "seg", F.explode(F.array_distinct(F.concat(F.array("value"), ball))).alias("value"))
-    pairs = (
-        probes.join(table, ["seg", "value"])
-        .where(F.col("of") != F.col("fp"))
-        .where(F.bit_count(F.col("of").bitwiseXOR(F.col("fp"))) <= distance)
-        .select(F.col("of").alias("a"), F.col("fp").alias("b"))
-    )
-    around = hot.select("seg", F.explode(F.concat(F.array("value"), _flips(F.col("value"), SEGMENT_BITS))).alias("value")).distinct()
-    dense = rows.join(around, ["seg", "value"], "left_semi").select("fp").distinct()
-    return pairs.unionAll(_through_midpoints(dense))
+    words = F.array("fp", *(w for i in range(SEGMENTS) for w in _ball(F.col("fp"), i)))
+    table = fps.select("fp", F.explode(words).alias("word"))
+    met = table.groupBy("word").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)
+    pairs = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SEGMENTS * RADIUS)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """Near-duplicate classes: (doc_id, fingerprint, component_id), a row for each row of docs.
 
-    Fingerprints link at `distance` differing bits or fewer; component_id is the least doc_id reachable over links.
+    Fingerprints link at 2 differing bits or fewer; component_id is the least doc_id reachable over links.
     Copies share a fingerprint and are worked on as one. Null or empty texts, and texts without words, have the
     fingerprint zero and are linked like any other. A null doc_id is kept and counts as larger than all others.
     Repeated rows give repeated rows. An empty table gives an empty one.
     """
     fp, _ = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
     fps = fp.groupBy("fp").agg(F.min("k").alias("least"))
-    comps = connected_components(links(fps.select("fp"), distance))
+    comps = connected_components(links(fps.select("fp")))
     classes = fps.join(comps, fps["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_k"))
     named = classes.join(least, "component").select("fp", "component_k")
