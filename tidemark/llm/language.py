@@ -17,6 +17,8 @@ from .quality import held_out
 GRAMS = {1: 9, 2: 12, 3: 14}
 #: Documents of each language that are learned from at most, and those of them that are landmarks.
 SAMPLE, LANDMARKS = 1500, 24
+#: Documents that are learned from at most over all languages.
+TOTAL = 12_000
 RIDGE = 1e-3
 _WIDTH = sum(1 << b for b in GRAMS.values())
 _BATCH = 128
@@ -89,13 +91,32 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     return Recogniser(classes, marks, (nystrom @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
-def sample(docs: DataFrame, usable: Column, lang_col: str, per_language: int) -> DataFrame:
-    """(lang, places): the texts of least hash of each language, ties by identifier, as n-gram presence."""
+def sample(docs: DataFrame, usable: Column, lang_col: str, per_language: int, total: int) -> DataFrame:
+    """(lang, at, bits): the texts of least hash of each language, ties by identifier, as n-gram presence.
+
+    First rows are counted by language; then only identifiers whose hash is below a cut that some four times as many
+    should pass are ranked, and the cut is raised until every language has its number. So no task gets a language
+    whole, and texts stay where they lie: the chosen identifiers, `total` at most, are sent to them.
+    """
     rows = docs.where(usable & F.col(f"`{lang_col}`").isNotNull())
-    ids = rows.select(F.col("doc_id").cast("long").alias("k"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    ids = ids.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))).where(F.col("at") <= per_language)
-    texts = rows.select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = texts.join(ids.distinct(), "k").select("lang", "at", "text")
+    ids = rows.select(F.col("doc_id").cast("long").alias("k"), F.col(f"`{lang_col}`").cast("string").alias("lang")).withColumn("hash", F.xxhash64("k"))
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(total + 1).collect()}
+    if len(counts) > total:
+        raise ValueError(f"more than {total} languages to learn")
+    per_language = min(per_language, total // max(1, len(counts)))
+    cuts = {lang: 2**63 - 1 if n <= 8 * per_language else int(-(2**63) + 2**64 * 4 * per_language / n) for lang, n in counts.items()}
+    while cuts:
+        cut = F.try_element_at(F.create_map(*(F.lit(x) for p in cuts.items() for x in p)), F.col("lang"))
+        below = ids.where(F.col("hash") <= cut)
+        got = {r["lang"]: r["n"] for r in below.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not (few := [lang for lang, n in counts.items() if got.get(lang, 0) < min(per_language, n)]):
+            break
+        cuts |= {lang: min(2**63 - 1, 2 * cuts[lang] + 2**63) for lang in few}
+    else:
+        below = ids.where(F.lit(False))
+    chosen = below.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "k"))).where(F.col("at") <= per_language).select("k", "lang", "at")
+    texts = rows.select(F.col("doc_id").cast("long").alias("k"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(chosen), ["k", "lang"]).select("lang", "at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,18 +126,19 @@ def sample(docs: DataFrame, usable: Column, lang_col: str, per_language: int) ->
     return chosen.mapInArrow(run, "lang string, at int, bits binary")
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, per_language: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, per_language: int = SAMPLE, landmarks: int = LANDMARKS, total: int = TOTAL) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of every whole text.
 
-    Learns from at most `per_language` documents of each non-null lang that are not held out; the first `landmarks` of
-    them in order of a hash of doc_id span the kernel space. Only their n-gram presence, a bit for each, comes to the
-    driver: the bound is per_language rows of 2.6 kB for each language. lang_pred is 'und', with score 0, if the text
+    Learns from at most `per_language` documents of each non-null lang that are not held out, and from `total` at most
+    (with more languages each has an equal share); the first `landmarks` of them in order of a hash of doc_id span the
+    kernel space. Only their n-gram presence, a bit for each, comes to the driver: `total` rows of 2.6 kB at most, and
+    a row more for each row that repeats one of these identifiers. lang_pred is 'und', with score 0, if the text
     is null or has no letter, or if there is nothing to learn from. Repeated rows get the same; a null doc_id is
     predicted and not held out. An empty table gives an empty one.
     """
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)
-    rows = sample(plain, usable, "lang", per_language).collect()
+    rows = sample(plain, usable, "lang", per_language, total).collect()
     got = [(r["lang"], np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:_WIDTH])) for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["bits"]))]
     model = fit(got, landmarks) if got else None
 
