@@ -3,20 +3,23 @@
 The suffixes that matter are those starting at repeated strings of `length` bytes; sorting stops at that depth.
 
 1. Initial buckets. Every window of `length` bytes has an anchor, its q-gram of least hash (the leftmost of equals), so
-   equal windows have equal anchors at equal offsets. An anchor's suffixes are bucketed by its q-gram.
-2. First refinement. Members of a bucket are sorted on the identifier of the stretch that all windows of the anchor
-   cover. Of equal stretches all but the earliest are repeats, and a bucket with one stretch holds nothing else.
-3. Last refinement. What is left of a bucket is sorted on (bucket, offset of the anchor, identifier of the window); all
-   but the earliest of equals are repeats. The buckets of step 1 are reused: windows meet only within them.
-
-Identifiers are 64-bit hashes of the bytes; two strings are taken as equal if the hash of their anchor and their own
-hash both agree. Buckets are dealt to partitions by hash. What one Arrow batch holds twice is settled there, so a
-string that a third of all documents share reaches its bucket once for each batch, not once for each document.
+   equal windows have equal anchors at equal offsets. Windows are bucketed by the q-gram of their anchor. A bucket whose
+   windows all have the same bytes around the anchor is settled: all but the earliest are repeats. Others stay open.
+2. Refinement. The bucket of a suffix at depth 2d is named by its bucket at depth d and that of the suffix d bytes later,
+   from the q-grams up, as far as depth D (see depth()). Suffixes that start at every q-th place before an open anchor
+   are sorted on (bucket of the anchor, bucket at depth D). A bucket of one is closed; each other goes on, for the q
+   windows that hold it.
+3. Last refinement. The bucket of a window is named by the depth-D buckets, made again from those of step 2, of the
+   suffixes that cover it. All but the earliest of a bucket are repeats.
+
+Names are 64-bit hashes of names; two windows are taken as equal if the names of their anchors and their own agree.
+Buckets are dealt to tasks by hash, and their number follows the bytes of the input. What one Arrow batch holds twice is
+settled there and sent once: a string that a third of all documents share, and one that each continues in its own
+way, make one row for each batch and not one for each document.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +27,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, keyed
+from .common import id_of, identified
 
 U = np.uint64
 #: Window starts that are hashed at a time.
 CHUNK = 1 << 17
-#: Buckets for each shuffle partition.
-SPLIT = 4
+#: Bytes of text for each bucket that a task sorts at a time.
+BUCKET_BYTES = 1 << 25
 _ODD = 0x9E3779B97F4A7C15
-_REPEAT, _OPEN = 0, 1
-_ITEM = np.dtype([("q", "<u8"), ("c", "<u8"), ("k", "<i8"), ("x", "<u4"), ("lo", "u1"), ("hi", "u1"), ("kind", "u1")])
-_WINDOW = np.dtype([("q", "<u8"), ("c", "<u8"), ("k", "<i8"), ("x", "<u4"), ("kind", "u1")])
+#: A repeat; one that waits for its bucket; one that is known to go on; one that only stands for others of its batch.
+_REPEAT, _OPEN, _KNOWN, _SIGN = 0, 1, 2, 3
+_ITEM = np.dtype([("q", "<u8"), ("c", "<u8"), ("k", "<i8"), ("t", "<i8"), ("x", "<u4"), ("lo", "<u2"), ("hi", "<u2"), ("kind", "u1")])
+_COLUMNS = "q", "c", "x", "lo", "hi", "kind"
 _BLOB = "bucket int, items binary"
-_FOUND = "k long, x long, lo int, hi int, kind int"
+_FOUND = "k long, t long, x long, lo int, hi int, kind int"
+
+
+def depth(length: int, q: int) -> int:
+    """The depth of the middle buckets: the largest q * 2**n such that each window of an anchor holds one that starts at a multiple of q before it."""
+    d = q
+    while 2 * d <= length - q + 1:
+        d *= 2
+    return d
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
     return h ^ (h >> U(33))
 
 
@@ -70,6 +81,30 @@ class _Hashes:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of a pair of names."""
+    return _mix(a * U(_ODD) + (b ^ (b >> U(29))) * U(0xD6E8FEB86659FD93))
+
+
+def _deeper(grams: np.ndarray, q: int, d: int) -> np.ndarray:
+    """Buckets at depth d from those at depth q: a bucket of twice the depth is that of a place and that of the later place."""
+    while q < d:
+        grams = _joined(grams[:-q], grams[q:]) if len(grams) > q else grams[:0]
+        q *= 2
+    return grams
+
+
+def _covering(names: np.ndarray, d: int, length: int) -> np.ndarray:
+    """Buckets at depth `length`, each of the buckets at depth d that cover it."""
+    n = len(names) - (length - d)
+    if n <= 0:
+        return names[:0]
+    out = names[:n]
+    for at in [*range(d, length - d, d), length - d] if length > d else []:
+        out = _joined(out, names[at : at + n])
+    return out
+
+
 def _window_minimum(v: np.ndarray, w: int) -> np.ndarray:
     """The least of each w values in a row, from running minima of blocks of w."""
     n = len(v) - w + 1
@@ -103,9 +138,13 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield flush()
 
 
+def _new(n: int) -> np.ndarray:
+    return np.zeros(n, _ITEM)
+
+
 def anchors(texts: list[bytes], keys: np.ndarray, length: int, q: int) -> np.ndarray:
-    """An item for each anchor: q-gram, stretch, key, place x, and how far before x its first and last windows start."""
-    out = [np.empty(0, _ITEM)]
+    """An item for each anchor: q-gram, all bytes around it, row, place x, and how far before x its first and last windows start."""
+    out = [_new(0)]
     w = length - q + 1
     for s, rows, starts, base in _chunks(texts, length):
         h = _Hashes(s)
@@ -118,78 +157,158 @@ def anchors(texts: list[bytes], keys: np.ndarray, length: int, q: int) -> np.nda
         new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (of[p][1:] != of[p][:-1])]))
         last = np.concatenate([new[1:], [len(p)]]) - 1
         x, first, final, row = x[new], p[new], p[last], of[p][new]
-        item = np.empty(len(x), _ITEM)
+        item = _new(len(x))
         item["lo"], item["hi"], item["kind"] = x - first, x - final, _OPEN
         item["q"] = grams[x]
-        item["c"] = _mix(h.of(first, final + length) + (item["lo"].astype(U) << U(8)) + item["hi"].astype(U))
-        item["k"], item["x"] = keys[rows[row]], x - starts[row] + base[row]
+        item["c"] = _mix(h.of(first, final + length) + (item["lo"].astype(U) << U(17)) + item["hi"].astype(U))
+        item["k"], item["t"] = keys[rows[row]].T
+        item["x"] = x - starts[row] + base[row]
         out.append(item)
     return np.concatenate(out)
 
 
-def windows(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], length: int, q: int) -> np.ndarray:
-    """An item for each window of the open anchors; x is where it starts."""
-    out = [np.empty(0, _WINDOW)]
+def _near(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(row, bytes, rows of found whose first window starts in them, place of the bytes); a text is looked at in stretches."""
     for row, text in enumerate(texts):
         f = found[row]
         f = f[np.argsort(f[:, 0])]
         for at in range(0, max(1, len(text) - length + 1), CHUNK):
             some = f[(f[:, 0] - f[:, 1] >= at) & (f[:, 0] - f[:, 1] < at + CHUNK)]
-            if not len(some):
-                continue
-            piece = np.frombuffer(text, np.uint8)[at : at + CHUNK + 2 * length]
-            h = _Hashes(piece)
-            n = some[:, 1] - some[:, 2] + 1
-            back = np.repeat(some[:, 1], n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            x = np.repeat(some[:, 0], n) - at
-            item = np.empty(len(x), _WINDOW)
-            item["q"] = h.of(x, x + q)
-            item["c"] = _mix(h.of(x - back, x - back + length) + back.astype(U))
-            item["k"], item["x"], item["kind"] = keys[row], x - back + at, _OPEN
-            out.append(item)
+            if len(some):
+                yield row, np.frombuffer(text, np.uint8)[at : at + CHUNK + 2 * length], some, at
+
+
+def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for each i and 0 <= j < n[i]."""
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def middles(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], length: int, q: int) -> np.ndarray:
+    """An item for each suffix at a multiple of q before an open anchor that one of its windows holds; lo and hi are those of these windows."""
+    out, d = [_new(0)], depth(length, q)
+    for row, piece, some, at in _near(texts, keys, found, length):
+        grams = _Hashes(piece).every(q)
+        names = _deeper(grams, q, d)
+        least, most = some[:, 2] // q, some[:, 1] // q
+        i, j = _each(most - least + 1)
+        back = (least[i] + j) * q
+        x = some[i, 0] - at
+        item = _new(len(i))
+        item["q"], item["c"] = grams[x], names[x - back] + back.astype(U)
+        item["k"], item["t"] = keys[row]
+        item["x"], item["lo"], item["hi"], item["kind"] = some[i, 0], np.minimum(some[i, 1], back + q - 1), np.maximum(some[i, 2], back), _OPEN
+        out.append(item)
+    return np.concatenate(out)
+
+
+def windows(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], length: int, q: int) -> np.ndarray:
+    """An item for each window of what is still open; x is where it starts."""
+    out, d = [_new(0)], depth(length, q)
+    for row, piece, some, at in _near(texts, keys, found, length):
+        grams = _Hashes(piece).every(q)
+        names = _covering(_deeper(grams, q, d), d, length)
+        i, j = _each(some[:, 1] - some[:, 2] + 1)
+        back, x = some[i, 1] - j, some[i, 0] - at
+        item = _new(len(i))
+        item["q"], item["c"] = grams[x], names[x - back] + back.astype(U)
+        item["k"], item["t"] = keys[row]
+        item["x"], item["kind"] = x - back + at, _OPEN
+        out.append(item)
     return np.concatenate(out)
 
 
-def _settle(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Items sorted by (q, c, k, x), and which of them are not the earliest of equals."""
-    items = items[np.lexsort((items["x"], items["k"], items["c"], items["q"]))]
+def _sorted(items: np.ndarray) -> np.ndarray:
+    return items[np.lexsort((items["x"], items["t"], items["k"], items["c"], items["q"]))]
+
+
+def _as_before(items: np.ndarray, *names: str) -> np.ndarray:
+    """Whether each item has the same values in these columns as the one before it."""
     same = np.zeros(len(items), bool)
-    same[1:] = (items["q"][1:] == items["q"][:-1]) & (items["c"][1:] == items["c"][:-1])
+    same[1:] = np.logical_and.reduce([items[n][1:] == items[n][:-1] for n in names])
+    return same
+
+
+def _repeats(items: np.ndarray) -> np.ndarray:
+    """Which of sorted items are not the earliest of their bucket."""
+    same = _as_before(items, "q", "c")
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(items))))
-    same &= (items["k"] != items["k"][head]) | (items["x"] != items["x"][head])  # the same row twice is not a repeat
-    return items, same
+    return same & ((items["k"] != items["k"][head]) | (items["t"] != items["t"][head]) | (items["x"] != items["x"][head]))  # the same row twice is not a repeat
+
+
+def _many(items: np.ndarray, own: np.ndarray, *names: str) -> np.ndarray:
+    """Whether the bucket (of equals in these columns, of sorted items) of each item has more than one of `own`."""
+    bucket = np.cumsum(~_as_before(items, *names)) - 1
+    return (np.bincount(bucket, weights=own) > 1)[bucket] if len(items) else np.zeros(0, bool)
+
+
+def _settled_anchors(items: np.ndarray) -> np.ndarray:
+    """Of a batch: repeats; of buckets with one stretch, that; of others, all, known to go on, and a sign."""
+    items = _sorted(items)
+    gone = _repeats(items)
+    done, items = items[gone], items[~gone]
+    done["kind"] = _REPEAT
+    many = _many(items, np.ones(len(items)), "q")
+    signs = items[many & ~_as_before(items, "q")]
+    items["kind"][many], signs["kind"] = _KNOWN, _SIGN
+    return np.concatenate([done, items, signs])
+
+
+def _settled_middles(items: np.ndarray) -> np.ndarray:
+    """Of a batch: buckets of one; of others, all, known to go on, and a sign."""
+    items = _sorted(items)
+    many = _many(items, np.ones(len(items)), "q", "c")
+    signs = items[many & ~_as_before(items, "q", "c")]
+    items["kind"][many], signs["kind"] = _KNOWN, _SIGN
+    return np.concatenate([items, signs])
+
+
+def _settled_windows(items: np.ndarray) -> np.ndarray:
+    items = _sorted(items)
+    items["kind"][_repeats(items)] = _REPEAT
+    return items
 
 
 def _packed(items: np.ndarray) -> bytes:
-    """Column after column, places as differences: of items in order of document and place little is left to move."""
-    return b"".join((np.diff(items[n], prepend=np.uint32(0)) if n == "x" else items[n]).tobytes() for n in items.dtype.names)
+    """Rows, then column after column, places as differences: of items in order of row and place little is left to move."""
+    new = np.flatnonzero(~_as_before(items, "k", "t"))
+    parts = [np.array([len(new), len(items)], np.uint32), items["k"][new], items["t"][new], np.diff(np.append(new, len(items))).astype(np.uint32)]
+    return b"".join(x.tobytes() for x in [*parts, *(np.diff(items[n], prepend=np.uint32(0)) if n == "x" else items[n] for n in _COLUMNS)])
 
 
-def _unpacked(data: memoryview, kind: np.dtype) -> np.ndarray:
-    items = np.empty(len(data) // kind.itemsize, kind)
+def _unpacked(data: memoryview) -> np.ndarray:
     at = 0
-    for n in kind.names:
-        size = kind[n].itemsize * len(items)
-        column = np.frombuffer(data[at : at + size], kind[n])
-        items[n] = np.cumsum(column, dtype=np.uint32) if n == "x" else column
-        at += size
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, n, at)
+        at += out.nbytes
+        return out
+
+    rows, n = map(int, take("<u4", 2))
+    items = _new(n)
+    k, t, count = take("<i8", rows), take("<i8", rows), take("<u4", rows)
+    items["k"], items["t"] = np.repeat(k, count), np.repeat(t, count)
+    for name in _COLUMNS:
+        column = take(_ITEM[name].str, n)
+        items[name] = np.cumsum(column, dtype=np.uint32) if name == "x" else column
     return items
 
 
-def _deal(items: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settle what meets in this batch, then send items to their buckets; settled ones to any, by document."""
-    items, same = _settle(items)
-    items["kind"][same] = _REPEAT
-    to = np.where(same, _mix(items["k"].view(U)), items["q"]) >> U(20)
+def _deal(items: np.ndarray, buckets: int, by: str) -> Iterator[pa.RecordBatch]:
+    """Items to their buckets: by the q-gram, or by the whole name; those that need none, to any, by row."""
+    alone = (items["kind"] == _REPEAT) | (by != "q") & (items["kind"] == _KNOWN)
+    named = _joined(items["q"], items["c"])
+    to = np.where(alone, _mix(items["k"].view(U) ^ items["t"].view(U)), np.where((by != "q") | (items["kind"] == _KNOWN), named, items["q"])) >> U(20)
     to = (to % U(buckets)).astype(np.int32)
-    order = np.lexsort((items["x"], items["k"], to))
+    order = np.lexsort((items["x"], items["t"], items["k"], to))
     items, to = items[order], to[order]
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, int)
     ends = np.concatenate([cuts[1:], [len(to)]]) if len(to) else cuts
     yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array([_packed(items[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "items"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The items of one bucket after another; the rows come sorted by bucket."""
     at, held = None, []
     for b in batches:
@@ -198,43 +317,53 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np
                 yield np.concatenate(held)
                 held = []
             at = bucket
-            held.append(_unpacked(memoryview(items.as_buffer()), kind))
+            held.append(_unpacked(memoryview(items.as_buffer())))
     if held:
         yield np.concatenate(held)
 
 
-def _found(k: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(x.astype(np.int64)), *(pa.array(y.astype(np.int32)) for y in (lo, hi, kind))], names=["k", "x", "lo", "hi", "kind"])
+def _found(items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(items["k"]), pa.array(items["t"]), pa.array(items["x"].astype(np.int64)), *(pa.array(y.astype(np.int32)) for y in (lo, hi, items["kind"]))], names=["k", "t", "x", "lo", "hi", "kind"])
 
 
-def _refine_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for items in _by_bucket(batches, _ITEM):
+def _refine_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for items in _by_bucket(batches):
         done = items[items["kind"] == _REPEAT]
-        items, same = _settle(items[items["kind"] == _OPEN])
-        # a bucket stays open if it holds two stretches
-        new = np.concatenate([[True], items["q"][1:] != items["q"][:-1]]) if len(items) else np.empty(0, bool)
-        stretch = new.copy()
-        stretch[1:] |= items["c"][1:] != items["c"][:-1]
-        bucket = np.cumsum(new) - 1
-        many = (np.bincount(bucket, weights=stretch) > 1)[bucket] if len(items) else new
-        items["kind"][same] = _REPEAT
-        items = np.concatenate([done, items[same | many]])
-        yield _found(items["k"], items["x"], items["lo"], items["hi"], items["kind"])
+        items = _sorted(items[items["kind"] != _REPEAT])
+        signs = items["kind"] == _SIGN
+        # a bucket stays open if it holds two stretches, or a sign of a batch with two
+        stretch = np.where(signs, 2, ~_as_before(items, "q", "c"))
+        many = _many(items, stretch, "q") | (items["kind"] == _KNOWN)
+        items, many = items[~signs], many[~signs]
+        gone = _repeats(items)
+        items["kind"] = np.where(gone, _REPEAT, _OPEN)
+        out = np.concatenate([done, items[gone | many]])
+        yield _found(out, out["lo"], out["hi"])
+
+
+def _refine_middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for items in _by_bucket(batches):
+        known = items[items["kind"] == _KNOWN]
+        items = _sorted(items[items["kind"] != _KNOWN])
+        many = _many(items, np.where(items["kind"] == _SIGN, 2, 1), "q", "c")
+        out = np.concatenate([known, items[many & (items["kind"] == _OPEN)]])
+        out["kind"] = _OPEN
+        yield _found(out, out["lo"], out["hi"])
 
 
 def _refine_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for items in _by_bucket(batches, _WINDOW):
+        for items in _by_bucket(batches):
             done = items[items["kind"] == _REPEAT]
-            items, same = _settle(items[items["kind"] == _OPEN])
-            items = np.concatenate([done, items[same]])
-            items = items[np.lexsort((items["x"], items["k"]))]
+            items = _sorted(items[items["kind"] == _OPEN])
+            items = np.concatenate([done, items[_repeats(items)]])
+            items["kind"] = _REPEAT
+            items = items[np.lexsort((items["x"], items["t"], items["k"]))]
             x = items["x"].astype(np.int64)
-            new = np.flatnonzero(np.concatenate([[True], (items["k"][1:] != items["k"][:-1]) | (x[1:] > x[:-1] + length)])) if len(x) else np.empty(0, int)
-            last = np.concatenate([new[1:], [len(x)]]) - 1 if len(x) else new
+            new = np.flatnonzero(~_as_before(items, "k", "t") | np.concatenate([[True], x[1:] > x[:-1] + length])[: len(x)])
+            last = np.append(new[1:], len(x)) - 1 if len(x) else new
             # windows that touch are one run; it is told as an anchor whose windows reach from the first to the last
-            gapless = x[last] - x[new]
-            yield _found(items["k"][new], x[new], np.zeros(len(new)), -gapless, np.full(len(new), _REPEAT))
+            yield _found(items[new], np.zeros(len(new)), x[new] - x[last])
 
     return run
 
@@ -258,32 +387,42 @@ def _triples(lists: pa.Array) -> list[np.ndarray]:
     return np.split(all_, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
+def _triples(lists: pa.Array) -> list[np.ndarray]:
+    """A list<struct<x, lo, hi>> column as an array of three columns for each row."""
+    flat = lists.flatten()
+    all_ = np.stack([flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("x", "lo", "hi")], axis=1) if len(flat) else np.empty((0, 3), np.int64)
+    sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], int)
+    return np.split(all_, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, q: int = 20) -> DataFrame:
-    """(k, text, found): every row, with list<struct<x, lo, hi>> of its repeated windows (see removed_runs())."""
+    """(k, t, text, found): every row, with list<struct<x, lo, hi>> of its repeated windows (see removed_runs())."""
+    if not 2 <= q <= length - q + 1 or length >= 1 << 16:
+        raise ValueError("length must be at least 2 * q - 1 and less than 65536")
     spark = docs.sparkSession
-    buckets = SPLIT * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs, id_col, text_col)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = identified(docs, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, -(-size // BUCKET_BYTES))
 
-    def deal_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _deal(anchors([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()], b.column(0).to_numpy(), length, q), buckets)
+    def dealt(df: DataFrame, make, by: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+                yield from _deal(make([t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()], keys, b), buckets, by)
 
-    def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _deal(windows([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()], b.column(0).to_numpy(), _triples(b.column(2)), length, q), buckets)
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets // SPLIT, "bucket").sortWithinPartitions("bucket")
+        return df.mapInArrow(run, _BLOB).repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     def listed(df: DataFrame) -> DataFrame:
-        return df.groupBy("k").agg(F.collect_list(F.struct("x", "lo", "hi")).alias("found"))
+        return df.groupBy("k", "t").agg(F.collect_list(F.struct("x", "lo", "hi")).alias("found"))
+
+    def beside(found: DataFrame, how: str = "inner") -> DataFrame:
+        return texts.join(listed(found).hint("shuffle_hash"), ["k", "t"], how).select("k", "t", "text", "found")
 
-    stretches = dealt(texts.mapInArrow(deal_anchors, _BLOB)).mapInArrow(_refine_stretches, _FOUND)
-    open_ = listed(stretches.where(F.col("kind") == _OPEN))
-    left = texts.join(open_.hint("shuffle_hash"), "k").select("k", "text", "found")
-    last = dealt(left.mapInArrow(deal_windows, _BLOB)).mapInArrow(_refine_windows(length), _FOUND)
-    found = listed(stretches.where(F.col("kind") == _REPEAT).unionAll(last))
-    return texts.join(found.hint("shuffle_hash"), "k", "left").select("k", "text", "found")
+    first = dealt(texts, lambda t, k, _: _settled_anchors(anchors(t, k, length, q)), "q").mapInArrow(_refine_anchors, _FOUND)
+    middle = dealt(beside(first.where(F.col("kind") == _OPEN)), lambda t, k, b: _settled_middles(middles(t, k, _triples(b.column(3)), length, q)), "name").mapInArrow(_refine_middles, _FOUND)
+    last = dealt(beside(middle), lambda t, k, b: _settled_windows(windows(t, k, _triples(b.column(3)), length, q)), "name").mapInArrow(_refine_windows(length), _FOUND)
+    return beside(first.where(F.col("kind") == _REPEAT).unionAll(last), "left")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, q: int = 20) -> DataFrame:
@@ -291,14 +430,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Earlier is a smaller doc_id, or an earlier start in the same document. Overlaps count, and strings are judged on
     the input. Null texts count as empty; shorter texts than `length` stay whole. A null doc_id counts as the largest.
-    Rows that share a doc_id and a text count as one document, so both keep what one would; a doc_id should not stand
-    for two texts. `kept` is binary, since a run may end inside a character. An empty table gives an empty one.
+    Rows that share a doc_id are told apart by their texts, in the order of a hash of these; rows that share both count
+    as one document, so all keep what one would. `kept` is binary, since a run may end inside a character. An empty
+    table gives an empty one. `length` is from 2 * q - 1 to 65535.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, found in zip(b.column(1), _triples(b.column(2)), strict=True):
+            for text, found in zip(b.column(2), _triples(b.column(3)), strict=True):
                 s = text.as_py().encode("utf-8", "surrogatepass")
                 runs = removed_runs(found, len(s), length)
                 edges = [0, *runs.ravel().tolist(), len(s)]
@@ -309,18 +449,3 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = repeated_runs(docs, id_col, text_col, length, q).mapInArrow(cut, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
     return rows.select(id_of(F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
-
-
-def brute_force(rows: list[tuple[int, bytes]], length: int) -> dict[int, tuple[int, int, int, str]]:
-    """What suffix_dedup() gives, by a set of all strings; for small tests."""
-    seen: set[bytes] = set()
-    out = {}
-    for k, s in sorted(rows):
-        gone = np.zeros(len(s) + 1, bool)
-        for p in range(len(s) - length + 1):
-            if s[p : p + length] in seen:
-                gone[p : p + length] = True
-            seen.add(s[p : p + length])
-        kept = bytes(c for c, g in zip(s, gone[:-1], strict=True) if not g)
-        out[k] = (len(s), int(gone.sum()), int((gone[:-1] & ~np.concatenate([[False], gone[:-1]])[:-1]).sum()), hashlib.sha256(kept).hexdigest())
-    return out
