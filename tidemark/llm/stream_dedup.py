@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_of, keyed, materialise, new_path, remove
+from .common import NULL_KEY, id_of, materialise, new_path, remove
 
 #: The store that keeps a stream's state on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -14,6 +14,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 AHEAD = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 #: The longest prefix of the digest that can be asked for, in hex digits.
 DIGITS = 64
+#: Batches in which the stream takes the files that it finds.
+BATCHES = 2
 
 
 def normalised(text: Column) -> Column:
@@ -21,20 +23,28 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
+def _locator() -> Column:
+    """Where a row of a file source lies."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, digits: int) -> DataFrame:
-    rows = keyed(docs, id_col, text_col).select("k", normalised(F.col("text")).alias("norm"))
+    k = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY)).alias("k")
+    rows = docs.select(k, _locator().alias("locator"), normalised(F.col(f"`{text_col}`").cast("string")).alias("norm"))
     return rows.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("digest", F.substring("text_sha256", 1, digits))
 
 
-def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digits: int = DIGITS, checkpoint: str | None = None, max_bytes_per_trigger: int = 1 << 38) -> DataFrame:
+def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digits: int = DIGITS, checkpoint: str | None = None, batches: int = BATCHES) -> DataFrame:
     """(digest, first_k, locator, seen): what the stream's state holds of each digest once all files under path are in.
 
     The state is keyed by digest, kept on disk, and never expires. Each key holds the least identifier seen, the
     content locator of that row (its file and row number) and how many rows it had. Rows are counted before they are
-    shuffled, so a digest of many rows is one row from each task. With the same `checkpoint`, a later call reads only
-    files that are new, and goes on from the state there is.
+    shuffled, so a digest of many rows is one row from each task. The files are taken in some `batches`, so later ones
+    meet the state of earlier ones. With the same `checkpoint`, a later call reads only files that are new, and goes on
+    from the state there is.
     """
-    schema = spark.read.parquet(path).schema
+    found = spark.read.parquet(path)
+    schema, files = found.schema, len(found.inputFiles())
     own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, AHEAD: "false", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
@@ -42,12 +52,11 @@ def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     base = checkpoint or new_path(spark, "stream-dedup")
     updates = f"{base}/updates"
     try:
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a single file is a source too
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a single file is a source too
         rows = stream.select(
-            F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("k"),
+            F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY)).alias("k"),
             F.substring(F.sha2(normalised(F.col(f"`{text_col}`").cast("string")), 256), 1, digits).alias("digest"),
-            place.alias("locator"),
+            _locator().alias("locator"),
         )
         state = rows.groupBy("digest").agg(F.min(F.struct("k", "locator")).alias("first"), F.count(F.lit(1)).alias("seen"))
 
@@ -73,17 +82,18 @@ def stream_exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", t
     the least doc_id of equal texts stays; a null doc_id is larger than all others, and rows that share the least
     doc_id all count as kept. group_size counts rows. An empty table gives an empty one.
 
-    The stream's state (digest_state()) gives each digest its keeper and size. Every digest with hits is then checked
-    over full bytes: rows are grouped by digest and whole text, so a digest with two texts shows, and its rows are
-    told apart by text. `digits` cuts the digest short, to test that.
+    The stream's state (digest_state()) gives each digest its keeper, that row's locator and the size. Every digest with
+    hits is then checked over full bytes: its rows are grouped by whole text, and each group must hold the row at the
+    locator. A digest with a group that does not has two texts, and its rows are told apart by text. `digits` cuts the
+    digest short, to test that.
     """
     docs = spark.read.parquet(path)
     state = digest_state(spark, path, id_col, text_col, digits)
     rows = _rows(docs, id_col, text_col, digits)
-    hits = state.where("seen > 1").select("digest")
-    variants = rows.groupBy("digest", "norm").agg(F.min("k").alias("keep_k"), F.count(F.lit(1)).alias("group_size"))
-    variants = variants.join(hits, "digest", "left_semi")
-    differ = variants.groupBy("digest").count().where("count > 1").select("digest")
+    hits = state.where("seen > 1").select("digest", F.col("locator").alias("kept"))
+    variants = rows.groupBy("digest", "norm").agg(F.min(F.struct("k", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    variants = variants.join(hits, "digest").select("digest", "norm", F.col("first.k").alias("keep_k"), "group_size", (F.col("first.locator") == F.col("kept")).alias("at_locator"))
+    differ = variants.where(~F.col("at_locator")).select("digest").distinct()
     differ, at = materialise(differ, "collisions")
     named = rows.select("k", "digest", "text_sha256").join(state.select("digest", F.col("first_k").alias("keep_k"), F.col("seen").alias("group_size")), "digest")
     if differ.isEmpty():
