@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: prefix filtering, every candidate verified."""
+"""Near copies by SimHash over word shingles, completed to all pairs of a Jaccard similarity.
+
+Fingerprints of five-word shingles are linked by simhash.links(), and each link is verified on the whole texts. Two texts
+of Jaccard 0.8 differ in up to 10 and more of 64 bits, farther than balls within segments reach; the pairs that are
+left are found under the shingles of which near copies must share one, and verified as well.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, connected_components, keyed, materialise, remove
+from . import simhash
+from .common import NULL_KEY, connected_components, identified, materialise, remove
 
 SEED, WORDS, THRESHOLD = 42, 5, 0.8
 #: A shingle in more prefixes than this is put at the end of the order; so many of these are told apart by their counts, in so many rounds.
@@ -56,36 +62,30 @@ def _prefix(x: np.ndarray, threshold: float, common: np.ndarray, rank: np.ndarra
     return x[np.lexsort((x, np.where(common[at] == x, rank[at], 0)))[:keep]]
 
 
-def _prefixes(words: int, threshold: float):
-    none = np.array([], np.uint64)
+_SETS = "k long, t long, s long, n int, fp long, prefix array<long>"
+
+
+def _prefixes(words: int, threshold: float, common: np.ndarray, rank: np.ndarray):
+    """Of each text: the hash of its set of shingles, their number, their SimHash, and the prefix of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column(1)]
+            sets = [shingles(t.as_py(), words) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *b.columns,
+                    b.column(0),
+                    b.column(1),
                     pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], pa.uint64()).view(pa.int64()),
                     pa.array([len(x) for x in sets], pa.int32()),
-                    pa.array([_prefix(x, threshold, none, none).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([simhash.majority(x) for x in sets], pa.uint64()).view(pa.int64()),
+                    pa.array([_prefix(x, threshold, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ],
-                names=["k", "text", "t", "s", "n", "prefix"],
+                names=["k", "t", "s", "n", "fp", "prefix"],
             )
 
     return run
 
 
-def _rare_first(words: int, threshold: float, common: np.ndarray, rank: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = shingles(t.as_py(), words)
-                h = _prefix(x, threshold, common, rank).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), s, np.int64)), pa.array(np.full(len(h), len(x), np.int32)), pa.array(h)], names=["s", "n", "h"])
-
-    return run
-
-
 def _similar(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, np.array([], np.uint64)
@@ -100,15 +100,13 @@ def _similar(words: int, threshold: float):
     return run
 
 
-def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, text): a text of each of these sets."""
-    return rows.select("s", "text").join(nodes, "s", "left_semi").groupBy("s").agg(F.first("text").alias("text"))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, from the whole texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar, from the whole texts of a document of each."""
     pairs, pairs_path = materialise(pairs.distinct(), "pairs")
-    texts, texts_path = materialise(_texts(rows, pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()), "texts")
+    nodes = pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()
+    asked = sets.select("s", "k", "t").join(nodes, "s", "left_semi")
+    texts = docs.join(asked, ["k", "t"]).dropDuplicates(["s"]).select("s", "text")
+    texts, texts_path = materialise(texts, "texts")
     both = pairs.join(texts.select(F.col("s").alias("b"), F.col("text").alias("u")), "b").join(texts.select(F.col("s").alias("a"), F.col("text").alias("v")), "a")
     return _freed(materialise(both.select("a", "b", "v", "u").mapInArrow(_similar(words, threshold), "a long, b long"), "links")[0], pairs_path, texts_path)
 
@@ -132,45 +130,55 @@ def _freed(df: DataFrame, *paths: str) -> DataFrame:
     return df
 
 
-def _postings(rows: DataFrame, words: int, threshold: float) -> tuple[DataFrame, str]:
-    """(h, s, n): the prefix of each distinct set. Texts with common shingles in it get theirs anew, with these last."""
-    sets = rows.groupBy("s").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts, path = materialise(sets.select("s", "n", F.explode("prefix").alias("h")), "postings")
-    _freed(posts)
+def _common_last(docs: DataFrame, words: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in many prefixes, ascending, and how many: the order puts them last, so other ones take their places.
+
+    A few rounds settle it. At most RANKED shingles are told apart, which bounds what the tasks are sent; any order is exact.
+    """
     known: dict[int, int] = {}
+    common, rank = np.array([], np.uint64), np.array([], np.int64)
     for _ in range(REORDERED):
+        posts = docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS).select(F.explode("prefix").alias("h"))
         often = posts.groupBy("h").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(RANKED).collect()
-        new = [r["h"] for r in often if r["h"] not in known]
+        new = {r["h"]: r["count"] for r in often if r["h"] not in known}
         if not new or len(known) >= RANKED:
             break
-        known |= {h: max(known.get(h, 0), n) for h, n in often}
-        common = np.array(sorted(known), np.int64).view(np.uint64)
-        rank = np.array([known[h] for h in sorted(known)], np.int64)
-        order = np.argsort(common)
-        touched, touched_path = materialise(posts.join(posts.sparkSession.createDataFrame([(h,) for h in new], "h long"), "h", "left_semi").select("s").distinct(), "touched")
-        anew = _texts(rows, touched).mapInArrow(_rare_first(words, threshold, common[order], rank[order]), "s long, n int, h long")
-        fresh, fresh_path = materialise(posts.join(touched, "s", "left_anti").select("s", "n", "h").unionAll(anew), "postings")
-        posts, path = _freed(fresh, path, touched_path), fresh_path
-    return posts, path
+        known |= new
+        hashes = np.array(list(known), np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        common, rank = hashes[order], np.array(list(known.values()), np.int64)[order]
+    return common, rank
+
+
+def _by_simhash(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or linked."""
+    least = sets.groupBy("fp").agg(F.min("s").alias("of"))
+    equal = sets.select("fp", "s").join(least, "fp").where("s <> of").select("of", "s")
+    met = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b").select("x", "y")
+    return equal.unionAll(met).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(k, t, component): for each row its key of keyed(), the hash of its text, and its class.
+    """(k, t, component): for each row its key of identified(), and its class.
 
     Classes are the connected components of all pairs of texts whose sets of word shingles have at least that Jaccard
-    similarity. Under any order of shingles two such sets share one of the first n - ceil(threshold n) + 1 of each, so
-    these are the buckets; the order puts common shingles last. Buckets over PAIRWISE are linked through pivots first,
-    and then whatever is outside the largest class of a bucket meets all others of it that it is not yet connected
-    with: no pair is left out. Every link is verified on the whole texts. Texts with equal sets are worked on as one, and so are
-    all texts without words. 64-bit hashes stand for shingles and for sets.
+    similarity. Pairs whose SimHashes are linked are verified first. For the others: under any order of shingles two
+    such sets share one of the first n - ceil(threshold n) + 1 of each, so these are the buckets; the order puts common
+    shingles last. Buckets over PAIRWISE are linked through pivots first, and then whatever is outside the largest class
+    of a bucket meets all others of it that it is not yet connected with: no pair is left out. Every link is verified on
+    the whole texts. Texts with equal sets are worked on as one, and so are all texts without words. 64-bit hashes
+    stand for shingles and for sets.
     """
-    rows = keyed(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
-    rows, _ = materialise(rows.mapInArrow(_prefixes(words, threshold), "k long, text string, t long, s long, n int, prefix array<long>"), "shingles")
-    posts, path = _postings(rows, words, threshold)
-    sizes = posts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = _freed(materialise(posts.join(sizes, "h").withColumn("component", F.col("s")), "buckets")[0], path)
+    docs = identified(docs, id_col, text_col)
+    common, rank = _common_last(docs, words, threshold)
+    rows, rows_path = materialise(docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
+    keys, _ = materialise(rows.select("k", "t", "s"), "keys")
+    sets = rows.groupBy("s").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    sets = _freed(materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix"), "sets")[0], rows_path)
+    sizes = _freed(materialise(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")[0])
+    posts = _freed(materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h").withColumn("component", F.col("s")), "buckets")[0])
     small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE).drop("component")
-    links = _verified(_pairs(small, small, threshold), rows, words, threshold)
+    links = _verified(_by_simhash(sets).unionAll(_pairs(small, small, threshold)), docs, sets, words, threshold)
     comps, _ = materialise(connected_components(links), "components")
     for i in range(ROUNDS + 1 if large.head(1) else 0):
         now, path = materialise(large.join(comps.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")), "buckets")
@@ -184,12 +192,12 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             pivots = now.groupBy("h").agg(F.array(F.min_by(F.struct("s", "n", "component"), by), F.max_by(F.struct("s", "n", "component"), by)).alias("p"))
             found = _pairs(pivots.select("h", F.explode("p").alias("p")).select("h", "p.*"), now, threshold)
         if work:
-            links = links.unionAll(_verified(found, rows, words, threshold))
+            links = links.unionAll(_verified(found, docs, sets, words, threshold))
             comps, _ = materialise(connected_components(links), "components")
-        _freed(rows, path)
+        _freed(sets, path)
         if last:
             break
-    return rows.select("k", "t", "s").join(comps.withColumnRenamed("node", "s"), "s", "left").select("k", "t", F.coalesce("component", "s").alias("component"))
+    return keys.join(comps.withColumnRenamed("node", "s"), "s", "left").select("k", "t", F.coalesce("component", "s").alias("component"))
 
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
