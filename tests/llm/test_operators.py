@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from brute import brute_force
 from tidemark.llm import language, line_dedup, packing, pii, quality, simhash, stream_dedup, suffix_dedup, unigram, weighted_minhash
 from tidemark.llm.common import connected_components
 from tidemark.llm.queries import OP3_SQL, OP4_SQL, PIECES
@@ -36,7 +37,7 @@ def _labels(spark):
 
 APPLY = {
     "quality": lambda d, s: quality.quality_scores(d, _labels(s)),
-    "pii": lambda d, s: pii.pii_pseudonyms(d),
+    "pii": lambda d, s: pii.pii_pseudonyms(d, b"key"),
     "lines": lambda d, s: line_dedup.line_dedup(d),
     "simhash": lambda d, s: simhash.simhash_components(d),
     "language": lambda d, s: language.identify_languages(d),
@@ -108,7 +109,7 @@ def test_links_keep_all_near_pairs_together(spark):
     for b in base:
         for _ in range(8):
             prints.add(b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
-    prints |= {base[0] ^ (1 << i) ^ (1 << j) for i, j in itertools.combinations(range(12), 2)}  # a bucket over PAIRWISE
+    prints |= {base[0] ^ (1 << i) ^ (1 << j) for i, j in itertools.combinations(range(12), 2)}  # many within a bit of one another
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     got = {x["node"]: x["component"] for x in connected_components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
     for a, b in itertools.combinations(prints, 2):
@@ -132,7 +133,7 @@ def test_suffix_dedup_against_all_strings(spark):
     old, suffix_dedup.CHUNK = suffix_dedup.CHUNK, 200  # long texts are cut
     try:
         rows = [(i, t) for i, t in enumerate(texts)]
-        want = suffix_dedup.brute_force([(i, t.encode()) for i, t in rows], 30)
+        want = brute_force([(i, t.encode()) for i, t in rows], 30)
         got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=30, q=8).collect()
         assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got} == want
     finally:
@@ -145,9 +146,10 @@ def test_anchors_with_chunks_match_whole_texts():
     old = suffix_dedup.CHUNK
     try:
         suffix_dedup.CHUNK = 1 << 17
-        whole = suffix_dedup.anchors(texts, np.arange(5), 100, 20)
+        keys = np.stack([np.arange(5), np.zeros(5, int)], axis=1)
+        whole = suffix_dedup.anchors(texts, keys, 100, 20)
         suffix_dedup.CHUNK = 128
-        cut = suffix_dedup.anchors(texts, np.arange(5), 100, 20)
+        cut = suffix_dedup.anchors(texts, keys, 100, 20)
     finally:
         suffix_dedup.CHUNK = old
     key = lambda items: {(int(k), int(x), int(q)) for k, x, q in zip(items["k"], items["x"], items["q"], strict=True)}
@@ -228,14 +230,15 @@ def test_pieces_round_trip_and_score():
 def test_collision_rate_is_generalised_jaccard(spark):
     r = random.Random(11)
     texts = [" ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(12)]
-    got = {x["doc_id"]: x["fingerprint"] for x in weighted_minhash.cws_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples=64).collect()}
+    n = weighted_minhash.SAMPLES
+    got = {x["doc_id"]: x["fingerprint"] for x in weighted_minhash.cws_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     errors = []
     for a, b in itertools.combinations(range(12), 2):
         x, y = collections.Counter(texts[a].split()), collections.Counter(texts[b].split())
         d = weighted_minhash.DIGITS
-        same = sum(got[a][i : i + d] == got[b][i : i + d] for i in range(0, 64 * d, d)) / 64
+        same = sum(got[a][i : i + d] == got[b][i : i + d] for i in range(0, n * d, d)) / n
         errors.append(same - sum((x & y).values()) / sum((x | y).values()))
-    assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.12
+    assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.085
 
 
 def test_edited_texts(spark):
