@@ -41,13 +41,13 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, Jaccard 0.8), the one of least doc_id."""
+    """One document of each class of near copies, the one of least doc_id: SimHash over five-word shingles, completed to all pairs of Jaccard 0.8."""
     return near_copies.first_copies(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
-    return _with_text(docs, pii.pii_pseudonyms(docs).select("doc_id", "text"))
+    return _with_text(docs, pii.pii_pseudonyms(docs, pii.key_of(spark)).select("doc_id", "text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", good_quality),
     ("line dedup", no_repeated_lines),
-    ("shingle near-dedup", no_near_duplicates),
+    ("SimHash near-dedup", no_near_duplicates),
     ("PII", no_personal_data),
     ("best-fit packing", packed),
 ]
