@@ -7,6 +7,7 @@ left are found under the shingles of which near copies must share one, and verif
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -107,6 +108,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, th
     asked = sets.select("s", "k", "t").join(nodes, "s", "left_semi")
     texts = docs.join(asked, ["k", "t"]).dropDuplicates(["s"]).select("s", "text")
     texts, texts_path = materialise(texts, "texts")
+    _freed(texts)
     both = pairs.join(texts.select(F.col("s").alias("b"), F.col("text").alias("u")), "b").join(texts.select(F.col("s").alias("a"), F.col("text").alias("v")), "a")
     return _freed(materialise(both.select("a", "b", "v", "u").mapInArrow(_similar(words, threshold), "a long, b long"), "links")[0], pairs_path, texts_path)
 
@@ -126,6 +128,7 @@ def _freed(df: DataFrame, *paths: str) -> DataFrame:
     """df, after the removal of what it no longer needs: files at paths, and shuffles of ended steps, which Spark drops as their plans are collected."""
     for path in paths:
         remove(df.sparkSession, path)
+    gc.collect()
     df.sparkSession._jvm.System.gc()  # noqa: SLF001
     return df
 
@@ -141,6 +144,7 @@ def _common_last(docs: DataFrame, words: int, threshold: float) -> tuple[np.ndar
         posts = docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS).select(F.explode("prefix").alias("h"))
         often = posts.groupBy("h").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(RANKED).collect()
         new = {r["h"]: r["count"] for r in often if r["h"] not in known}
+        _freed(docs)
         if not new or len(known) >= RANKED:
             break
         known |= new
@@ -150,6 +154,11 @@ def _common_last(docs: DataFrame, words: int, threshold: float) -> tuple[np.ndar
     return common, rank
 
 
+def _in_components(posts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings with the component of each set: itself where it is in none."""
+    return posts.join(comps.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+
+
 def _by_simhash(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets whose fingerprints are equal or linked."""
     least = sets.groupBy("fp").agg(F.min("s").alias("of"))
@@ -171,17 +180,20 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = identified(docs, id_col, text_col)
     common, rank = _common_last(docs, words, threshold)
-    rows, rows_path = materialise(docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
+    rows, rows_path = materialise(_freed(docs).mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
     keys, _ = materialise(rows.select("k", "t", "s"), "keys")
     sets = rows.groupBy("s").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     sets = _freed(materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix"), "sets")[0], rows_path)
     sizes = _freed(materialise(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")[0])
-    posts = _freed(materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h").withColumn("component", F.col("s")), "buckets")[0])
-    small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE).drop("component")
-    links = _verified(_by_simhash(sets).unionAll(_pairs(small, small, threshold)), docs, sets, words, threshold)
+    posts = _freed(materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")[0])
+    small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE)
+    links = _verified(_by_simhash(sets), docs, sets, words, threshold)
     comps, _ = materialise(connected_components(links), "components")
+    small, small_path = materialise(_in_components(small, comps), "buckets")
+    links = links.unionAll(_verified(_pairs(small, small, threshold), docs, sets, words, threshold))
+    comps = _freed(materialise(connected_components(links), "components")[0], small_path)
     for i in range(ROUNDS + 1 if large.head(1) else 0):
-        now, path = materialise(large.join(comps.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")), "buckets")
+        now, path = materialise(_in_components(large, comps), "buckets")
         major = now.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
         outside = now.join(major, "h").where("component <> major").drop("major")
         work, n = outside.agg(F.sum("size")).first()[0] or 0, now.count()
