@@ -301,6 +301,7 @@ def _deal(items: np.ndarray, buckets: int, by: str) -> Iterator[pa.RecordBatch]:
     named = _joined(items["q"], items["c"])
     to = np.where(alone, _mix(items["k"].view(U) ^ items["t"].view(U)), np.where((by != "q") | (items["kind"] == _KNOWN), named, items["q"])) >> U(20)
     to = (to % U(buckets)).astype(np.int32)
+    items["q"][alone], items["c"][alone] = 0, 0  # not asked for again, and nothing to move
     order = np.lexsort((items["x"], items["t"], items["k"], to))
     items, to = items[order], to[order]
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, int)
