@@ -5,29 +5,36 @@ import difflib
 import random
 import re
 
-import pytest
+from pyspark.sql import functions as F
 
-from tidemark.functions.wording import dated, resolve_dates
+from tidemark.functions.wording import resolve_dates
 from tidemark.operators import spelling as P
 
 DAY = dt.date(2024, 1, 31)  # a Wednesday
 
 
-@pytest.mark.parametrize("text, want", [
+DATED = [
     ("Met yesterday and on Friday.", "Met yesterday (2024-01-30) and on Friday (2024-01-26)."),
     ("We will meet on Friday. Was there on Monday", "We will meet on Friday (2024-02-02). Was there on Monday (2024-01-29)"),
     ("last week, next month, last month", "last week (week of 2024-01-22), next month (2024-02), last month (2023-12)"),
     ('`today` "tomorrow" https://x/today today', '`today` "tomorrow" https://x/today today (2024-01-31)'),
     ("last Wednesday this Monday next Wednesday", "last Wednesday (2024-01-24) this Monday (2024-01-29) next Wednesday (2024-02-07)"),
     ("yesterday (2024-01-30), today's plan", "yesterday (2024-01-30), today's plan"), ("", ""), (None, None),
-])
-def test_dates(text, want):
-    assert dated(text, DAY) == want and dated(want, DAY) == want and dated(text, None) == text
+    ("The day before yesterday, the day after tomorrow, last night and tonight", "The day before yesterday (2024-01-29), the day after tomorrow (2024-02-02), last night (2024-01-30) and tonight (2024-01-31)"),
+    ("yesterday's paper of YESTERDAY, todays", "yesterday's paper of YESTERDAY (2024-01-30), todays"),
+]
+
+
+def test_dates(spark):
+    """Dates come behind phrases; a text that has them stays as it is, and so does one without a day."""
+    rows = spark.createDataFrame([(t, w, DAY, None) for t, w in DATED], "t string, w string, d date, n date")
+    for r in rows.select("t", "w", resolve_dates(F.col("t"), F.col("d")).alias("once"), resolve_dates(F.col("w"), F.col("d")).alias("again"), resolve_dates(F.col("t"), F.col("n")).alias("none")).collect():
+        assert r["once"] == r["w"] and r["again"] == r["w"] and r["none"] == r["t"]
 
 
 def test_dates_in_a_table(spark):
     rows = spark.createDataFrame([("today", DAY), (None, DAY), ("today", None)], "t string, d date")
-    assert [r[0] for r in rows.select(resolve_dates("t", "d")).collect()] == ["today (2024-01-31)", None, "today"]
+    assert [r[0] for r in rows.select(resolve_dates(F.col("t"), F.col("d"))).collect()] == ["today (2024-01-31)", None, "today"]
 
 
 def _edits(a, b):

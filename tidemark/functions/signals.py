@@ -13,16 +13,28 @@ from pyspark.sql.types import BooleanType
 
 #: Keywords of each quadrant, in the order that settles ties, and the tags that count double. Fixed values.
 QUADRANTS = {
-    "core": "identity,name,who am i,relationship,partner,family,friend,creator,bond,connection,soul,blueprint,personality,values,community,pengu,nation,belong,role,introduction",
-    "work": "bug,fix,code,debug,deploy,build,test,commit,push,merge,refactor,api,endpoint,database,server,docker,kubernetes,config,install,package,dependency,error,stack trace,pull request,review,architecture,schema,migration",
-    "soul": "love,feel,emotion,heart,cloud 9,cloud9,breakthrough,joy,trust,warmth,resonance,tears,happy,grateful,sacred,spirit,glow,intensity,vulnerability,connection,omelette,sovereignty,consciousness,alive,real",
-    "wild": "idea,crazy,what if,experiment,random,chaos,creative,art,music,dream,weird,fun,joke,laugh,wild,surprise,unexpected,brainstorm,imagine,vision,future,possible",
+    "core": [
+        "identity", "name", "who am i", "relationship", "partner", "family", "friend", "creator", "bond", "connection", "soul", "blueprint", "personality",
+        "values", "community", "pengu", "nation", "belong", "role", "introduction",
+    ],
+    "work": [
+        "bug", "fix", "code", "debug", "deploy", "build", "test", "commit", "push", "merge", "refactor", "api", "endpoint", "database", "server", "docker",
+        "kubernetes", "config", "install", "package", "dependency", "error", "stack trace", "pull request", "review", "architecture", "schema", "migration",
+    ],
+    "soul": [
+        "love", "feel", "emotion", "heart", "cloud 9", "cloud9", "breakthrough", "joy", "trust", "warmth", "resonance", "tears", "happy", "grateful", "sacred",
+        "spirit", "glow", "intensity", "vulnerability", "connection", "omelette", "sovereignty", "consciousness", "alive", "real",
+    ],
+    "wild": [
+        "idea", "crazy", "what if", "experiment", "random", "chaos", "creative", "art", "music", "dream", "weird", "fun", "joke", "laugh", "wild", "surprise",
+        "unexpected", "brainstorm", "imagine", "vision", "future", "possible",
+    ],
 }
 QUADRANT_TAGS = {
-    "core": "identity,relationship,soul,blueprint,seed",
-    "work": "code,debug,deploy,build,security",
-    "soul": "cloud9,love,emotion,breakthrough,consolidated",
-    "wild": "idea,creative,brainstorm,experiment",
+    "core": ["identity", "relationship", "soul", "blueprint", "seed"],
+    "work": ["code", "debug", "deploy", "build", "security"],
+    "soul": ["cloud9", "love", "emotion", "breakthrough", "consolidated"],
+    "wild": ["idea", "creative", "brainstorm", "experiment"],
 }
 #: What a line says if it holds one of these words or phrases, between word boundaries. Fixed values.
 MOMENTS = {
@@ -32,18 +44,23 @@ MOMENTS = {
     "problem": ["bug|broken|failed|error|crash|issue|problem", "doesn'?t work|won'?t|can'?t|unable to", "root cause|turns out|the problem was|figured out", "fix(?:ed)?|patch(?:ed)?|workaround|hotfix"],
     "emotional": ["love|proud|excited|grateful|happy|sad|frustrated|angry|scared", "breakthrough|cloud 9|oof|feeling", "this means|this matters|sacred|important to me", "beautiful|incredible|amazing|awful|terrible"],
 }
-#: A ban and, later in the line, what is banned; a version number. Fixed values.
-BAN, BANNED, VERSION = "don'?t|do not|stop|avoid|skip", "that|this|doing|using", r"v\d+\.\d+"
+#: Two more patterns, with their own boundaries: a ban and, later in the line, what is banned; a version number. Fixed values.
+BAN = r"(?<![\p{L}\p{N}_])(?:don'?t|do not|stop|avoid|skip)(?![\p{L}\p{N}_]).*(?<![\p{L}\p{N}_])(?:that|this|doing|using)(?![\p{L}\p{N}_])"
+VERSION = r"(?<![\p{L}\p{N}_])v\d+\.\d+"
 #: How a line of code begins, the least share of letters in prose, and the least lengths of lines and sentences. Fixed values.
 CODE_STARTS = "import ", "from ", "def ", "class ", "return ", "if __name__", "#!/", "```", ">>>"
 LETTERS, LINE_CHARS, SENTENCE_CHARS = 0.3, 5, 20
 #: Words and hedges that the measures of a turn count. Fixed values.
-PET_NAMES = "babe,baby,lovebug,love,honey,darling,sweetheart,queen,chef".split(",")
-WE, I_, YOU = "we,us,our,ours,ourselves".split(","), "i,me,my,mine,myself".split(","), "you,your,yours,yourself".split(",")
-PRESENT = (
-    "am,is,are,do,does,have,has,see,sees,know,knows,want,wants,feel,feels,love,loves,need,needs,hold,holds,build,builds,run,runs,go,goes,come,comes,make,makes,"
-    "take,takes,look,looks,find,finds,say,says,tell,tells,ask,asks,think,thinks,mean,means,i'm,you're,we're,it's,that's,there's,i've,you've,we've"
-).split(",")
+PET_NAMES = ["babe", "baby", "lovebug", "love", "honey", "darling", "sweetheart", "queen", "chef"]
+WE = ["we", "us", "our", "ours", "ourselves"]
+I_ = ["i", "me", "my", "mine", "myself"]
+YOU = ["you", "your", "yours", "yourself"]
+PRESENT = [
+    "am", "is", "are", "do", "does", "have", "has", "see", "sees", "know", "knows", "want", "wants", "feel", "feels", "love", "loves", "need", "needs",
+    "hold", "holds", "build", "builds", "run", "runs", "go", "goes", "come", "comes", "make", "makes", "take", "takes", "look", "looks", "find", "finds",
+    "say", "says", "tell", "tells", "ask", "asks", "think", "thinks", "mean", "means", "i'm", "you're", "we're", "it's", "that's", "there's", "i've",
+    "you've", "we've",
+]
 HEDGES = [
     "to be (?:honest|fair|clear)", "i think|i believe|i guess|i suppose|i feel like|i would say", "perhaps|maybe|possibly|presumably|arguably",
     "i want to be careful|i should note|to be safe", "it (?:seems|appears|looks like)",
@@ -52,23 +69,63 @@ HEDGES = [
 USUAL = {"sentence_mean": 8.2, "pet": 0.644, "we": 0.713, "you": 4.314, "present": 8.093}
 #: Words and signs of each feeling with the intensity and valence they give. Fixed values.
 FEELINGS = {
-    "love": ("love,adore,heart,miss you,xoxo,kisses", 7.0, 0.9), "joy": ("haha,lol,rofl,lmao,amazing,awesome,yay,woohoo", 5.0, 0.7),
-    "sadness": ("sad,sorry,miss,cry,tears,hurt", 4.0, -0.3), "anger": ("angry,furious,hate,ugh,frustrated", 5.0, -0.5),
-    "trust": ("trust,believe,faith,rely,depend,safe", 5.0, 0.6), "curiosity": ("curious,wonder,interesting,fascinated,hmm,what if", 3.0, 0.4),
-    "gratitude": ("thank,thanks,grateful,appreciate,blessed,thankful", 6.0, 0.8),
+    "love": (["love", "adore", "heart", "miss you", "xoxo", "kisses"], 7.0, 0.9),
+    "joy": (["haha", "lol", "rofl", "lmao", "amazing", "awesome", "yay", "woohoo"], 5.0, 0.7),
+    "sadness": (["sad", "sorry", "miss", "cry", "tears", "hurt"], 4.0, -0.3),
+    "anger": (["angry", "furious", "hate", "ugh", "frustrated"], 5.0, -0.5),
+    "trust": (["trust", "believe", "faith", "rely", "depend", "safe"], 5.0, 0.6),
+    "curiosity": (["curious", "wonder", "interesting", "fascinated", "hmm", "what if"], 3.0, 0.4),
+    "gratitude": (["thank", "thanks", "grateful", "appreciate", "blessed", "thankful"], 6.0, 0.8),
 }
-SIGNS = {"love": "❤💕💖💗💘💝🥰😍💞", "joy": "😂🤣😄😊🎉🥳✨🎊", "sadness": "😢😭💔😿🥺"}
+SIGNS = {
+    "love": ["❤", "💕", "💖", "💗", "💘", "💝", "🥰", "😍", "💞"],
+    "joy": ["😂", "🤣", "😄", "😊", "🎉", "🥳", "✨", "🎊"],
+    "sadness": ["😢", "😭", "💔", "😿", "🥺"],
+}
 #: Known sources, old names of some, tags of rows that are none, and what is never admitted. Fixed values.
-SOURCES = "manual,session,seed,import,telegram,notion,conversation,claude-code-hook,consolidation,journal-synthesis,task-pack,shared".split(",")
+SOURCES = [
+    "manual", "session", "seed", "import", "telegram", "notion", "conversation", "claude-code-hook", "consolidation", "journal-synthesis", "task-pack",
+    "shared",
+]
 OLD_SOURCES = {"tg": "telegram", "telegram-export": "telegram", "notion-export": "notion", "claude-hook": "claude-code-hook", "claude_code_hook": "claude-code-hook", "task_pack": "task-pack"}
-NO_EVENT = "debug,scratch,test-seed,test_seed,ephemeral,throwaway".split(",")
+NO_EVENT = ["debug", "scratch", "test-seed", "test_seed", "ephemeral", "throwaway"]
 BLOCKED, ECHOES = ("collective", "anonymous-aggregate"), ("collective-echo", "ambient", "egregore")
 #: Parts of tags that only the owner may see, and look-alikes of ASCII letters. Fixed values.
 OWNER_ONLY = "sacred", "grief", "family-private", "personal-history"
-LOOKALIKES = str.maketrans(
-    "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0455\u0458\u043a\u043c\u043d\u0442\u0432\u0501\u04cf\u051b" "\u03bf\u03b1\u03b5\u03c1\u03b9\u03c4\u03ba\u03bd" "\u0131\u0261\u0251\u026a\u0262\u0274",
-    "aeopcyxisjkmhtbdiq" "oaepitkv" "igaign",
-)
+LOOKALIKES = {
+    "а": "a",  # U+0430
+    "е": "e",  # U+0435
+    "о": "o",  # U+043E
+    "р": "p",  # U+0440
+    "с": "c",  # U+0441
+    "у": "y",  # U+0443
+    "х": "x",  # U+0445
+    "і": "i",  # U+0456
+    "ѕ": "s",  # U+0455
+    "ј": "j",  # U+0458
+    "к": "k",  # U+043A
+    "м": "m",  # U+043C
+    "н": "h",  # U+043D
+    "т": "t",  # U+0442
+    "в": "b",  # U+0432
+    "ԁ": "d",  # U+0501
+    "ӏ": "i",  # U+04CF
+    "ԛ": "q",  # U+051B
+    "ο": "o",  # U+03BF
+    "α": "a",  # U+03B1
+    "ε": "e",  # U+03B5
+    "ρ": "p",  # U+03C1
+    "ι": "i",  # U+03B9
+    "τ": "t",  # U+03C4
+    "κ": "k",  # U+03BA
+    "ν": "v",  # U+03BD
+    "ı": "i",  # U+0131
+    "ɡ": "g",  # U+0261
+    "ɑ": "a",  # U+0251
+    "ɪ": "i",  # U+026A
+    "ɢ": "g",  # U+0262
+    "ɴ": "n",  # U+0274
+}
 IGNORABLE = "\u115f\u1160\u3164\uffa0\u17b4\u17b5\u034f"
 #: Importance of each layer, of full intensity, and the step that each use takes towards one. Fixed values.
 IMPORTANCE, INTENSITY_SHARE, STEP = {"short-term": 0.3, "mid-term": 0.5, "long-term": 0.7}, 0.3, 0.02
@@ -81,8 +138,8 @@ def whole(pattern: str) -> str:
     return rf"(?i)(?<!{_W})(?:{pattern})(?!{_W})"
 
 
-def _any(text: Column, words: str) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words.split(",")))
+def _any(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
 
 def quadrant(text: Column, tags: Column, intensity: Column, peak: Column, labels: Column, role: Column, source: Column) -> Column:
@@ -90,9 +147,9 @@ def quadrant(text: Column, tags: Column, intensity: Column, peak: Column, labels
     none = F.array().cast("array<string>")
     own = F.transform(F.coalesce(tags, none), lambda t: F.lower(t))
     # the text is put in lower case once and then searched for each list of words
-    held = lambda low: F.array(*(F.size(F.filter(F.array(*map(F.lit, words.split(","))), lambda w: low.contains(w))) for words in QUADRANTS.values()))
+    held = lambda low: F.array(*(F.size(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))) for words in QUADRANTS.values()))
     counts = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), held)[0]
-    tagged = lambda q: F.size(F.filter(own, lambda t: t.isin(*QUADRANT_TAGS[q].split(","))))
+    tagged = lambda q: F.size(F.filter(own, lambda t: t.isin(*QUADRANT_TAGS[q])))
     votes = {q: counts[n] + 2.0 * tagged(q) for n, q in enumerate(QUADRANTS)}
     yes = lambda c, n: F.when(c, n).otherwise(0.0)
     votes["soul"] += yes(intensity >= 7, 2.0) + yes(peak, 3.0) + 0.5 * F.size(F.coalesce(labels, none))
@@ -111,7 +168,7 @@ def is_code(line: Column) -> Column:
 
 def moments(line: Column) -> Column:
     """What kinds of moments a line tells of, in the order of MOMENTS."""
-    extra = {"preference": rf"(?i)(?<!{_W})(?:{BAN})(?!{_W}).*(?<!{_W})(?:{BANNED})(?!{_W})", "milestone": rf"(?i)(?<!{_W}){VERSION}"}
+    extra = {"preference": f"(?i){BAN}", "milestone": f"(?i){VERSION}"}
     says = lambda k: reduce(lambda a, b: a | b, (line.rlike(p) for p in [*map(whole, MOMENTS[k]), *filter(None, [extra.get(k)])]))
     return F.filter(F.array(*(F.when(says(k), k) for k in MOMENTS)), lambda k: k.isNotNull())
 
@@ -160,7 +217,7 @@ def feeling(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     low, strength, mood, labels = F.lower(text), F.lit(0.0), F.lit(0.0), []
     said = {k: _any(low, words) for k, (words, _, _) in FEELINGS.items()}
-    shown = {k: _any(text, ",".join(signs)) for k, signs in SIGNS.items()}
+    shown = {k: _any(text, signs) for k, signs in SIGNS.items()}
     towards = lambda now, hit, v: (F.greatest if v > 0 else F.least)(now, F.when(hit, F.lit(v)))
     for k, (_, i, v) in FEELINGS.items():
         strength, mood = F.greatest(strength, F.when(said[k], F.lit(i))), towards(mood, said[k], v)
@@ -210,7 +267,7 @@ def importance(layer: Column, intensity: Column, uses: Column) -> Column:
 def plain(tag: str | None) -> str:
     """A tag without marks, format signs, case, look-alikes and separators."""
     drop = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c) not in ("Mn", "Me", "Cf") and c not in IGNORABLE)
-    return re.sub(r"[\s.−]", "", "".join(c for c in drop(drop(tag or "").casefold().translate(LOOKALIKES)) if unicodedata.category(c) not in ("Pd", "Pc", "Zs", "Zl", "Zp")))
+    return re.sub(r"[\s.−]", "", "".join(c for c in drop(drop(tag or "").casefold().translate(str.maketrans(LOOKALIKES))) if unicodedata.category(c) not in ("Pd", "Pc", "Zs", "Zl", "Zp")))
 
 
 @F.pandas_udf(BooleanType())

@@ -10,20 +10,100 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Frequent misspellings and the words meant. Fixed values.
-TYPOS = dict(
-    pair.split(" ")
-    for pair in (
-        "teh the,recieve receive,recieved received,definately definitely,seperate separate,seperated separated,occured occurred,occuring occurring,becuase because,thier their,wich which,untill until,"
-        "wierd weird,freind friend,adress address,arguement argument,begining beginning,beleive believe,calender calendar,catagory category,cemetary cemetery,changable changeable,collegue colleague,"
-        "comming coming,commited committed,completly completely,concious conscious,curiousity curiosity,embarass embarrass,enviroment environment,existance existence,familar familiar,finaly finally,"
-        "foriegn foreign,goverment government,grammer grammar,harrass harass,knoe know,kno know,befor before,befroe before,pleese please,chekc check,realy really,writte write,alredy already,"
-        "diferent different,meny many,tesing testing,lsresdy already,acheive achieve,accross across,aparent apparent,apparant apparent,assasin assassin,basicaly basically,beggining beginning,"
-        "buisness business,dissapear disappear,dissapoint disappoint,enviromental environmental,exagerate exaggerate,explaination explanation,gaurd guard,gaurantee guarantee,hieght height,"
-        "immediatly immediately,independant independent,intergrate integrate,knowlege knowledge,libary library,maintainance maintenance,millenium millennium,neccessary necessary,noticable noticeable,"
-        "occassion occasion,paralel parallel,peice piece,posession possession,prefered preferred,priviledge privilege,publically publicly,recomend recommend,refered referred,relevent relevant,"
-        "reccommend recommend,succesful successful,supercede supersede,tommorow tomorrow,truely truly,usualy usually,wether whether"
-    ).split(",")
-)
+TYPOS = {
+    "teh": "the",
+    "recieve": "receive",
+    "recieved": "received",
+    "definately": "definitely",
+    "seperate": "separate",
+    "seperated": "separated",
+    "occured": "occurred",
+    "occuring": "occurring",
+    "becuase": "because",
+    "thier": "their",
+    "wich": "which",
+    "untill": "until",
+    "wierd": "weird",
+    "freind": "friend",
+    "adress": "address",
+    "arguement": "argument",
+    "begining": "beginning",
+    "beleive": "believe",
+    "calender": "calendar",
+    "catagory": "category",
+    "cemetary": "cemetery",
+    "changable": "changeable",
+    "collegue": "colleague",
+    "comming": "coming",
+    "commited": "committed",
+    "completly": "completely",
+    "concious": "conscious",
+    "curiousity": "curiosity",
+    "embarass": "embarrass",
+    "enviroment": "environment",
+    "existance": "existence",
+    "familar": "familiar",
+    "finaly": "finally",
+    "foriegn": "foreign",
+    "goverment": "government",
+    "grammer": "grammar",
+    "harrass": "harass",
+    "knoe": "know",
+    "kno": "know",
+    "befor": "before",
+    "befroe": "before",
+    "pleese": "please",
+    "chekc": "check",
+    "realy": "really",
+    "writte": "write",
+    "alredy": "already",
+    "diferent": "different",
+    "meny": "many",
+    "tesing": "testing",
+    "lsresdy": "already",
+    "acheive": "achieve",
+    "accross": "across",
+    "aparent": "apparent",
+    "apparant": "apparent",
+    "assasin": "assassin",
+    "basicaly": "basically",
+    "beggining": "beginning",
+    "buisness": "business",
+    "dissapear": "disappear",
+    "dissapoint": "disappoint",
+    "enviromental": "environmental",
+    "exagerate": "exaggerate",
+    "explaination": "explanation",
+    "gaurd": "guard",
+    "gaurantee": "guarantee",
+    "hieght": "height",
+    "immediatly": "immediately",
+    "independant": "independent",
+    "intergrate": "integrate",
+    "knowlege": "knowledge",
+    "libary": "library",
+    "maintainance": "maintenance",
+    "millenium": "millennium",
+    "neccessary": "necessary",
+    "noticable": "noticeable",
+    "occassion": "occasion",
+    "paralel": "parallel",
+    "peice": "piece",
+    "posession": "possession",
+    "prefered": "preferred",
+    "priviledge": "privilege",
+    "publically": "publicly",
+    "recomend": "recommend",
+    "refered": "referred",
+    "relevent": "relevant",
+    "reccommend": "recommend",
+    "succesful": "successful",
+    "supercede": "supersede",
+    "tommorow": "tomorrow",
+    "truely": "truly",
+    "usualy": "usually",
+    "wether": "whether",
+}
 #: Tokens left alone: with digits, inner capitals, all capitals or signs, hyphens, addresses, code, or a capital at the start. Fixed values.
 ALONE = r"[0-9]", r"[A-Z][a-z]+[A-Z]", r"^[A-Z_@#$%^&*()+=\[\]{}|<>?.:/\\]+$", r"[-_]", r"(?i)https?://|www\.|/Users/|~/|\.[a-z]{2,4}$", r"[`*_#{}\[\]\\]", r"^\p{Lu}"
 #: The least length and likeness of a word near another, and the edits allowed up to five letters and beyond. Fixed values.

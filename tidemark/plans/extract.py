@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import tokens
 from ..functions.wording import resolve_dates
 from ..operators import spelling
-from ..sources.tables import MEMORIES_SQL, memories, table
+from ..sources.tables import MEMORIES_SQL, NOTES_SQL, memories, notes, table
 
 REGISTERED: dict = {}
 #: What marks a sentence as a claim, and its least length. Fixed values.
@@ -58,8 +60,8 @@ def _first_of_equals(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("doc_id", F.lower(name).alias("key")).agg(F.min_by(name, "at").alias(name)).select("doc_id", name)
 
 
-def _found_sql(pattern: str, name: str, rule: str) -> str:
-    return f"""WITH p AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '{pattern}') AS xs FROM documents), x AS (SELECT doc_id, unnest(xs) AS {name}, generate_subscripts(xs, 1) AS place FROM p)
+def _found_sql(pattern: str, name: str, rule: str, of: str = "documents") -> str:
+    return f"""WITH p AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '{pattern}') AS xs FROM {of}), x AS (SELECT doc_id, unnest(xs) AS {name}, generate_subscripts(xs, 1) AS place FROM p)
 SELECT doc_id, arg_min({name}, place) AS {name} FROM x WHERE {rule} GROUP BY doc_id, lower({name})"""
 
 
@@ -70,10 +72,13 @@ def title_entities(spark: SparkSession, d: str) -> DataFrame:
     return _first_of_equals(rows.where((F.char_length("entity") >= 4) & ~F.lower("entity").rlike("^(section|tags) ")), "entity")
 
 
-@query(_found_sql(CITATION, "citation", "true"))
+_NOTE_ROWS = f"(WITH {NOTES_SQL} SELECT id AS doc_id, text FROM note)"
+
+
+@query(_found_sql(CITATION, "citation", "true", _NOTE_ROWS))
 def citation_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Legal citations in each document."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(plain(F.coalesce("text", F.lit(""))), F.lit(CITATION), F.lit(0))).alias("at", "citation"))
+    """Legal citations in each note."""
+    rows = notes(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(F.regexp_extract_all(plain(F.coalesce("text", F.lit(""))), F.lit(CITATION), F.lit(0))).alias("at", "citation"))
     return _first_of_equals(rows, "citation")
 
 
@@ -132,7 +137,7 @@ def triage_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Triggers of the query below: name, phrase, role of the turn it is meant for (null: any), in order of name.
-TRIGGERS = [("t1", "release", None), ("t2", "thank you", "user"), ("t3", "data", "assistant"), ("t4", "please", "user"), ("t5", "time", None)]
+TRIGGERS = [("t1", "release", None), ("t2", "thank you", "user"), ("t3", "data", "assistant"), ("t4", "please", "user"), ("t5", "today", None)]
 
 
 def fired(text: Column, role: Column, triggers=TRIGGERS, cap: int = 3) -> Column:
@@ -142,27 +147,36 @@ def fired(text: Column, role: Column, triggers=TRIGGERS, cap: int = 3) -> Column
     return F.array_join(F.slice(F.array_compact(F.array(*hits)), 1, cap), ",")
 
 
-@query("WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, role FROM conversations), f AS (SELECT conv_id, turn, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(t), '(^|[^\\w]){p}($|[^\\w])') AND {'true' if r is None else f'role = {chr(39)}{r}{chr(39)}'} THEN '{n}' END" for n, p, r in TRIGGERS) + "], lambda x: x IS NOT NULL)[1:3] AS xs FROM c) SELECT conv_id, turn, array_to_string(xs, ',') AS fired FROM f WHERE len(xs) > 0")
+@query(f"WITH {NOTES_SQL}, c AS (SELECT id AS conv_id, text AS t, CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role FROM note), " + "f AS (SELECT conv_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(t), '(^|[^\\w]){p}($|[^\\w])') AND {'true' if r is None else f'role = {chr(39)}{r}{chr(39)}'} THEN '{n}' END" for n, p, r in TRIGGERS) + "], lambda x: x IS NOT NULL)[1:3] AS xs FROM c) SELECT conv_id AS id, array_to_string(xs, ',') AS fired FROM f WHERE len(xs) > 0")
 def trigger_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    """Which triggers each turn fires, three at most."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", fired(F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))).alias("fired"))
+    """Which triggers each note fires, three at most; every second is meant as a user's."""
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    rows = notes(spark, d).select("id", fired(F.col("text"), role).alias("fired"))
     return rows.where("fired <> ''")
 
 
 def spans(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int]]:
-    """[start, end) of overlapping chunks of at most size; each ends at its last blank line, else its last sentence end, if that leaves enough."""
-    out, start = [], 0
-    while True:
-        end = min(len(text), start + size)
-        if end < len(text):
-            para = text.rfind("\n\n", start, end)
-            stop = para if para > start else text.rfind(". ", start, end) + 1
-            if stop - (para <= start) > start + least:
-                end = stop
-        out.append((start, end))
-        if end == len(text):
-            return out
-        start = max(start + 1, end - overlap)
+    """[start, end) of overlapping chunks of at most size; each ends at its last blank line, else its last sentence end, if that leaves enough.
+
+    The places where a text may be cut are listed once, each kind in order; the end of a chunk is searched in the lists.
+    """
+    blank = [m.start() for m in re.finditer(r"(?=\n\n)", text)]
+    stops = [m.start() for m in re.finditer(r"(?=\. )", text)]
+
+    def end_of(start: int) -> int:
+        limit = start + size
+        if limit >= len(text):
+            return len(text)
+        before = lambda places: places[i - 1] if (i := bisect_right(places, limit - 2)) else -1
+        if (at := before(blank)) > start:
+            return at if at - start > least else limit
+        return at + 1 if (at := before(stops)) - start > least else limit
+
+    out = [(0, end_of(0))]
+    while out[-1][1] < len(text):
+        start = max(out[-1][0] + 1, out[-1][1] - overlap)
+        out.append((start, end_of(start)))
+    return out
 
 
 @query()
@@ -178,10 +192,25 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "chunk", "start", F.substring(F.md5(F.concat_ws(":", "start", "text")), 1, 12).alias("chunk_id"), "text")
 
 
-@query()
+#: What the phrases of the notes mean, each worked out by itself.
+_DATED = [
+    (r"(?i)\btoday\b", "strftime(day, '%Y-%m-%d')"), (r"(?i)\btonight\b", "strftime(day, '%Y-%m-%d')"), (r"(?i)\byesterday\b", "strftime(day - 1, '%Y-%m-%d')"), (r"(?i)\btomorrow\b", "strftime(day + 1, '%Y-%m-%d')"),
+    (r"(?i)\blast week\b", "'week of ' || strftime(date_trunc('week', day) - INTERVAL 7 DAY, '%Y-%m-%d')"), (r"(?i)\bnext monday\b", "strftime(date_trunc('week', day) + INTERVAL 7 DAY, '%Y-%m-%d')"),
+    (r"(?i)\bon tuesday\b", "strftime(day - CAST((isodow(day) + 4) % 7 + 1 AS INTEGER), '%Y-%m-%d')"), (r"(?i)\bon friday\b", "strftime(day + CAST((11 - isodow(day)) % 7 + 1 AS INTEGER), '%Y-%m-%d')"),
+]
+
+
+def _dated_sql() -> str:
+    out = "text"
+    for phrase, date in _DATED:
+        out = f"regexp_replace({out}, '({phrase})', '\\1 (' || {date} || ')', 'g')"
+    return out
+
+
+@query(f"WITH {NOTES_SQL} SELECT id, {_dated_sql()} AS text FROM note")
 def relative_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Each record's text with the day that its relative dates mean, seen from the day it was made. SQL cannot express it."""
-    return memories(spark, d).select("id", resolve_dates(F.col("content"), F.to_date("created_at")).alias("text"))
+    """Each note with the day that its relative dates mean, seen from the note's day."""
+    return notes(spark, d).select("id", resolve_dates(F.col("text"), F.col("day")).alias("text"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import signals as S
 from ..operators import matching as M
 from ..operators import retrieval as R
-from ..sources.tables import MEMORIES_SQL, memories, table
+from ..sources.tables import MEMORIES_SQL, NOTES_SQL, memories, notes, table
 from . import batch, search
 
 REGISTERED: dict = {}
@@ -26,12 +26,12 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def _held(words: str, of: str) -> str:
+def _held(words: list[str], of: str) -> str:
     """How many of the words a text holds, in SQL."""
-    return f"len(list_filter({_list(words.split(','))}, lambda w: contains({of}, w)))"
+    return f"len(list_filter({_list(words)}, lambda w: contains({of}, w)))"
 
 
-_VOTES = {q: f"{_held(words, 'low')} + 2 * len(list_filter(tags, lambda t: list_contains({_list(S.QUADRANT_TAGS[q].split(','))}, lower(t))))" + (" + CASE WHEN intensity >= 7 THEN 2 ELSE 0 END" if q == "soul" else "") for q, words in S.QUADRANTS.items()}
+_VOTES = {q: f"{_held(words, 'low')} + 2 * len(list_filter(tags, lambda t: list_contains({_list(S.QUADRANT_TAGS[q])}, lower(t))))" + (" + CASE WHEN intensity >= 7 THEN 2 ELSE 0 END" if q == "soul" else "") for q, words in S.QUADRANTS.items()}
 
 
 @query(f"""WITH {MEMORIES_SQL}, v AS (SELECT id, {', '.join(f"{sql} AS {q}" for q, sql in _VOTES.items())} FROM (SELECT *, lower(title || ' ' || content) AS low FROM mem))
@@ -54,25 +54,32 @@ def _quoted(pattern: str) -> str:
 def _says(kind: str) -> str:
     found = [rf"(?i)(^|{_NOT})({p})($|{_NOT})" for p in S.MOMENTS[kind]]
     if kind == "preference":
-        found.append(rf"(?i)(^|{_NOT})({S.BAN})({_NOT}|{_NOT}.*{_NOT})({S.BANNED})($|{_NOT})")
+        found.append(rf"(?i)(^|{_NOT})(don'?t|do not|stop|avoid|skip)({_NOT}|{_NOT}.*{_NOT})(that|this|doing|using)($|{_NOT})")
     if kind == "milestone":
-        found.append(rf"(?i)(^|{_NOT}){S.VERSION}")
+        found.append(rf"(?i)(^|{_NOT})v\d+\.\d+")
     return "(" + " OR ".join(f"regexp_matches(line, {_quoted(p)})" for p in found) + ")"
 
 
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations, and each note as one more."""
+    n = notes(spark, d).select((-1 - F.col("id")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text")
+    return table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text").unionAll(n)
+
+
+_SAID = f"(WITH {NOTES_SQL} SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1 - id, 0, text FROM note)"
 _TRIM = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 _BARE = _TRIM.format("regexp_replace(line, '[*_`#>~]', '', 'g')")
 _CLEAN = _TRIM.format(rf"regexp_replace(regexp_replace({_BARE}, '^[-•]\s*', ''), '^[0-9]+\.\s*', '')")
 
 
-@query(rf"""WITH l AS (SELECT conv_id, turn, unnest(xs) AS line, generate_subscripts(xs, 1) - 1 AS place FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS xs FROM conversations WHERE len(text) >= {S.SENTENCE_CHARS})),
+@query(rf"""WITH l AS (SELECT conv_id, turn, unnest(xs) AS line, generate_subscripts(xs, 1) - 1 AS place FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS xs FROM {_SAID} WHERE len(text) >= {S.SENTENCE_CHARS})),
 p AS (SELECT *, {_TRIM.format('line')} AS bare FROM l),
 s AS (SELECT conv_id, turn, place, line, {_CLEAN} AS sentence FROM p WHERE len(bare) >= {S.LINE_CHARS} AND NOT ({' OR '.join(f"starts_with(bare, {_quoted(c)})" for c in S.CODE_STARTS)}) AND len(regexp_replace(bare, '\P{{L}}', '', 'g')) / len(bare) >= {S.LETTERS}),
 k AS (SELECT conv_id, turn, place, sentence, unnest([{', '.join(f"CASE WHEN {_says(k)} THEN '{k}' END" for k in S.MOMENTS)}]) AS kind, unnest(range(5)) AS nth FROM s WHERE len(sentence) >= {S.SENTENCE_CHARS})
 SELECT conv_id, turn, CAST(place AS INTEGER) AS line, kind, sentence FROM (SELECT * FROM k WHERE kind IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower(substring(sentence, 1, 30)) ORDER BY place, nth) = 1""")
 def extract_moments(spark: SparkSession, d: str) -> DataFrame:
     """Decisions, preferences, milestones, problems and feelings in each turn: a line for each, the first of those that begin alike."""
-    t = table(spark, d, "conversations").where(F.char_length("text") >= S.SENTENCE_CHARS).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    t = _said(spark, d).where(F.char_length("text") >= S.SENTENCE_CHARS).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "said"))
     t = t.where(~S.is_code(F.regexp_replace("said", r"^\s+|\s+$", ""))).select("conv_id", "turn", "line", S.moments(F.col("said")).alias("kinds"), S.sentence(F.col("said")).alias("sentence"))
     # of several kinds of one line only the first can stay, as all of them begin alike
     t = t.where((F.size("kinds") > 0) & (F.char_length("sentence") >= S.SENTENCE_CHARS)).withColumn("start", F.lower(F.substring("sentence", 1, 30)))
@@ -109,23 +116,30 @@ def bloom_gate(spark: SparkSession, d: str) -> DataFrame:
     return t.select("conv_id", "turn", "n_words", "sentence_mean", "we", "you", "present", "hedges", S.peak(F.col("report")).alias("burst"), S.peak(F.col("report"), True).alias("sustained"))
 
 
-_HIT = {k: "(" + " OR ".join(f"contains(low, '{w}')" for w in words.split(",")) + ")" for k, (words, _, _) in S.FEELINGS.items()}
+_HIT = {k: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")" for k, (words, _, _) in S.FEELINGS.items()}
 _SHOWN = {k: "(" + " OR ".join(f"contains(text, '{x}')" for x in signs) + ")" for k, signs in S.SIGNS.items()}
 
 
+def _moved(first: str, hits: dict[str, str]) -> str:
+    """The mood after each feeling in turn: good ones raise it to theirs at least, bad ones lower it to theirs at most."""
+    for k, hit in hits.items():
+        first = f"{'greatest' if S.FEELINGS[k][2] > 0 else 'least'}({first}, CASE WHEN {hit} THEN {S.FEELINGS[k][2]} END)"
+    return first
+
+
 def _strongest(first: str, hits: dict[str, str]) -> str:
     return f"greatest({first}, {', '.join(f'CASE WHEN {hit} THEN {S.FEELINGS[k][1]} END' for k, hit in hits.items())})"
 
 
-@query(rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM conversations),
-f AS (SELECT conv_id, turn, text, least({_strongest('0.0', _HIT)} + CASE WHEN contains(text, '!') THEN 1 ELSE 0 END
+@query(rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM {_SAID}),
+f AS (SELECT conv_id, turn, text, low, least({_strongest('0.0', _HIT)} + CASE WHEN contains(text, '!') THEN 1 ELSE 0 END
   + CASE WHEN regexp_matches(text, '\p{{Lu}}') AND NOT regexp_matches(text, '\p{{Ll}}') AND len(text) > 10 THEN 2 ELSE 0 END, 10.0) AS said,
   list_filter([{', '.join(f"CASE WHEN {_HIT[k]} THEN '{k}' END" for k in S.FEELINGS)}, {', '.join(f"CASE WHEN {_SHOWN[k]} AND NOT {_HIT[k]} THEN '{k}' END" for k in S.SIGNS)}], lambda k: k IS NOT NULL) AS ks FROM c)
-SELECT conv_id, turn, CAST({_strongest('said', _SHOWN)} AS DOUBLE) AS intensity, CASE WHEN len(ks) = 0 THEN 'neutral' ELSE array_to_string(ks, ',') END AS labels FROM f""")
+SELECT conv_id, turn, CAST({_strongest('said', _SHOWN)} AS DOUBLE) AS intensity, round(CAST({_moved(_moved('0.0', _HIT), _SHOWN)} AS DOUBLE), 6) AS valence, CASE WHEN len(ks) = 0 THEN 'neutral' ELSE array_to_string(ks, ',') END AS labels FROM f""")
 def emotion_detect(spark: SparkSession, d: str) -> DataFrame:
     """The feelings of each turn and how strong they are."""
     f = S.feeling(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", f["intensity"].alias("intensity"), F.array_join(f["labels"], ",").alias("labels"))
+    return _said(spark, d).select("conv_id", "turn", f["intensity"].alias("intensity"), F.round(f["valence"], 6).alias("valence"), F.array_join(f["labels"], ",").alias("labels"))
 
 
 #: Sources of rows as they come: known, untidy, old, unknown, empty and none.

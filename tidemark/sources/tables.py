@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder: later steps read it from there, on whatever executor.
+
+    The folder is that of spark.checkpoint.dir. Only a local master, which has no other machines, gets a temporary one
+    where that is unset.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of an agent's memory, one for each document; every derived column is a function of doc_id."""
     i = F.col("doc_id")
@@ -34,3 +51,31 @@ MEMORIES_SQL = """mem AS (SELECT doc_id AS id, substring(coalesce(text, ''), 1,
   CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) + INTERVAL 30 DAY END AS valid_to,
   CASE WHEN doc_id % 4 = 1 THEN doc_id - 1 END AS parent_id, CASE WHEN doc_id % 10 = 0 AND doc_id >= 10 THEN doc_id - 10 END AS supersedes_id,
   (doc_id * 7 % 101) / 10.0 AS intensity, doc_id % 7 AS access_count FROM documents)"""
+
+
+#: Sentences about a part, one kind for each remainder of its key; {} stands for its name.
+NOTES = [
+    "We decided to order the {} today. The {} must be shipped by Friday, therefore the contract applies.",
+    "I prefer the {} over the old one. Please never use the plain {} again.",
+    "The {} was broken last week. The root cause turned out to be a crack, see 15 U.S.C. 2301 and Section 402A.",
+    "All tests pass for the {} since yesterday. We shipped it at last.",
+    "# Care of the {}\nKeep it dry.\n## Storage\nThe {} shall not be stored outside.",
+    "Thank you for the {}! I love it, this matters to me.",
+    "How do I clean the {}? Do it next Monday or on Tuesday.",
+    "The {} is not available any more. It was replaced by a better one on Friday.",
+    "Alice Baker and Bob Carter looked at the {} two days ago, as UCC 2-314 requires.",
+    "Remind me of the {} in 3 hours. Data of the release is due tomorrow.",
+    "The {} works. It shows that a good design lasts.",
+    "Tonight we will test the {} and merge the change. Don't touch it, stop using it this week.",
+]
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short note about each part: (id, name, text, day); its text and day are functions of the part."""
+    i = F.col("p_partkey")
+    text = F.replace(F.element_at(F.array(*map(F.lit, NOTES)), (F.pmod(i, F.lit(len(NOTES))) + 1).cast("int")), F.lit("{}"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select(i.alias("id"), F.col("p_name").alias("name"), text.alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(i, F.lit(400)).cast("int")).alias("day"))
+
+
+#: The same in DuckDB's SQL.
+NOTES_SQL = "note AS (SELECT p_partkey AS id, p_name AS name, replace([" + ", ".join("'" + n.replace("'", "''") + "'" for n in NOTES) + f"][p_partkey % {len(NOTES)} + 1], '{{}}', p_name) AS text, DATE '2024-01-01' + CAST(p_partkey % 400 AS INTEGER) AS day FROM part)"
