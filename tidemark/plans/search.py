@@ -21,18 +21,35 @@ def query(sql: str | None = None):
     return add
 
 
-def _questions(spark: SparkSession, d: str) -> DataFrame:
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """What both arms are asked: the title of every record whose id is divisible by 20."""
+    return memories(spark, d).where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("title").alias("text"))
+
+
 def _lexical(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
-    m = memories(spark, d)
-    return R.top_k(R.bm25(_questions(spark, d), m, F.col("content")), k).select("query_id", "id", "score", "rank")
+    found = R.bm25(_questions(spark, d), memories(spark, d), F.col("content")).where("id <> query_id")
+    return R.top_k(found, k).select("query_id", "id", "score", "rank")
 
 
 def _semantic(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
+    """The same questions, by hashed embeddings of titles and contents."""
+    v = R.hashed_embeddings(memories(spark, d), F.col("content"))
+    q = R.hashed_embeddings(_questions(spark, d).withColumnRenamed("query_id", "id"), F.col("text"))
+    return R.top_k(R.nearest(q.toDF("query_id", "q"), v, k), k).select("query_id", "id", "score", "rank")
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The query vectors, those whose id is divisible by 20, and all vectors."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.top_k(R.nearest(v.where("id < 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v), k).select("query_id", "id", "score", "rank")
+    return v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v
+
+
+def _neighbours(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
+    return R.top_k(R.nearest(*_vectors(spark, d), k), k).select("query_id", "id", "score", "rank")
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
@@ -49,28 +66,39 @@ def _bm25_sql(field: str, name: str) -> str:
   FROM asked JOIN {name}_tf USING (term) JOIN {name}_df USING (term), {name}_size GROUP BY query_id, id)"""
 
 
-_ASKED = "asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM benchmark)"
+_BENCHMARK = "asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM benchmark)"
+_ASKED = "question AS (SELECT id AS query_id, title AS text FROM mem WHERE id % 20 = 0), asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM question)"
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank"
 _COS = "sum(CAST(a AS DOUBLE) * b) / nullif(sqrt(sum(CAST(a AS DOUBLE) * a)) * sqrt(sum(CAST(b AS DOUBLE) * b)), 0)"
 _KNN = f"""scored AS (SELECT query_id, id, round({_COS}, 6) AS score FROM
   (SELECT q.vec_id AS query_id, v.vec_id AS id, CAST(unnest(q.embedding) AS DOUBLE) AS a, CAST(unnest(v.embedding) AS DOUBLE) AS b
-   FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 40) GROUP BY query_id, id)"""
-_LEX_SQL = f"WITH {MEMORIES_SQL}, {_ASKED}, {_bm25_sql('content', 'lex')}, lexical AS (SELECT query_id, id, score, {_TOP} FROM lex QUALIFY rank <= {TOP}), {_KNN}, semantic AS (SELECT query_id, id, score, {_TOP} FROM scored QUALIFY rank <= {TOP}),"
+   FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) GROUP BY query_id, id)"""
+_HASHED = f"""hv AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM
+  (SELECT id, CAST('0x' || substr(md5(term), 1, 6) AS INTEGER) % {R.BUCKETS} AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]{{2,}}')) AS term FROM mem) GROUP BY 1, 2)),
+hq AS (SELECT query_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS x FROM
+  (SELECT query_id, CAST('0x' || substr(md5(term), 1, 6) AS INTEGER) % {R.BUCKETS} AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS term FROM question) GROUP BY 1, 2)),
+hs AS (SELECT query_id, id, round(sum(hq.x * hv.x), 6) AS score FROM hq JOIN hv ON hq.bucket = hv.bucket AND id <> query_id GROUP BY query_id, id)"""
+_LEX_SQL = f"WITH {MEMORIES_SQL}, {_ASKED}, {_bm25_sql('content', 'lex')}, lexical AS (SELECT query_id, id, score, {_TOP} FROM lex WHERE id <> query_id QUALIFY rank <= {TOP}), {_HASHED}, semantic AS (SELECT query_id, id, score, {_TOP} FROM hs QUALIFY rank <= {TOP}),"
 _ARMS_SQL = f"{_LEX_SQL} arms AS (SELECT query_id, 'lexical' AS arm, id, rank FROM lexical UNION ALL SELECT query_id, 'semantic', id, rank FROM semantic), fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) AS best, count(*) AS n_arms FROM arms GROUP BY query_id, id)"
 
 
-@query(f"{_LEX_SQL[:-1]} SELECT query_id, id, score, rank FROM lexical")
+@query(f"WITH {MEMORIES_SQL}, {_BENCHMARK}, {_bm25_sql('content', 'lex')} SELECT query_id, id, score, {_TOP} FROM lex QUALIFY rank <= {TOP}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten best documents of each benchmark text by Okapi BM25."""
-    return _lexical(spark, d)
+    m = memories(spark, d)
+    return R.top_k(R.bm25(_benchmark(spark, d), m, F.col("content")), TOP).select("query_id", "id", "score", "rank")
 
 
-@query(f"""WITH {MEMORIES_SQL}, {_ASKED}, {_bm25_sql('title', 'ti')}, {_bm25_sql('content', 'co')},
-both_ AS (SELECT query_id, id, score * 8.0 AS s FROM ti UNION ALL SELECT query_id, id, score FROM co), lex AS (SELECT query_id, id, round(sum(s), 5) AS score FROM both_ GROUP BY query_id, id)
-SELECT query_id, id, score, {_TOP} FROM lex QUALIFY rank <= {TOP}""")
+@query(f"""WITH {MEMORIES_SQL.replace('FROM documents)', ", coalesce(lang, '') || ' ' || coalesce(source, '') AS label FROM documents)")}, {_BENCHMARK}, {', '.join(_bm25_sql(f, n) + f", {n}_t AS (SELECT query_id, id, term, {w} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)) AS s FROM asked JOIN {n}_tf USING (term) JOIN {n}_df USING (term), {n}_size)" for f, n, w in (('title', 'ti', 8.0), ('content', 'co', 1.0), ('label', 'la', 4.0)))},
+u AS (SELECT * FROM ti_t UNION ALL SELECT * FROM co_t UNION ALL SELECT * FROM la_t), lex AS (SELECT query_id, id, round(sum(s), 5) AS score, count(DISTINCT term) AS n FROM u GROUP BY query_id, id),
+a AS (SELECT query_id, count(*) AS terms FROM asked GROUP BY query_id)
+SELECT l.query_id, l.id, score, n = terms AS all_terms, row_number() OVER (PARTITION BY l.query_id ORDER BY n = terms DESC, score DESC, l.id) AS rank FROM lex l JOIN a ON l.query_id = a.query_id QUALIFY rank <= {TOP}""")
 def bm25_field_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """The same with titles weighted over contents."""
-    return R.top_k(R.field_weighted_bm25(_questions(spark, d), memories(spark, d)), TOP).select("query_id", "id", "score", "rank")
+    """Titles, contents and labels weighted; records with all terms of the query go first."""
+    m = memories(spark, d).withColumn("label", F.concat_ws(" ", F.coalesce(F.try_element_at("tags", F.lit(1)), F.lit("")), F.coalesce("source", F.lit(""))))
+    found = R.field_weighted_bm25(_benchmark(spark, d), m)
+    w = Window.partitionBy("query_id").orderBy(F.desc("all_terms"), F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP)
 
 
 @query("SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY term")
@@ -101,16 +129,19 @@ def substring_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_KNN} SELECT query_id, id, score, {_TOP} FROM scored QUALIFY rank <= {TOP}")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest vectors of the first forty."""
-    return _semantic(spark, d)
+    """Ten nearest vectors of every twentieth."""
+    return _neighbours(spark, d)
+
 
+#: A cosine that about one in a thousand pairs of the vectors of `embeddings` reaches.
+CLOSE = 0.35
 
-@query(f"WITH {_KNN} SELECT query_id, id, round(greatest(-1, least(1, score)), 4) AS score FROM scored WHERE score >= 0.73")
+
+@query(f"WITH {_KNN} SELECT query_id, id, score, max(score) OVER (PARTITION BY query_id) AS best FROM scored WHERE score >= {CLOSE}")
 def find_similar_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors above the near-duplicate threshold of 0.73."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    s = R.nearest(v.where("id < 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v)
-    return s.where("score >= 0.73").select("query_id", "id", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score")), 4).alias("score"))
+    """Vectors above a threshold, with the best score of their query."""
+    s = R.nearest(*_vectors(spark, d), least=CLOSE)
+    return s.withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
 
 
 @query(f"{_ARMS_SQL} SELECT query_id, id, score, best, n_arms FROM fused")
@@ -180,7 +211,7 @@ def recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
     """Precision at 10, reciprocal rank and nDCG over retrieved hits; an equal label is relevant."""
     e = table(spark, d, "embeddings")
     hit = (F.col("a") == F.col("b")).cast("int")
-    rows = _semantic(spark, d).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("b")), "id")
+    rows = _neighbours(spark, d).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("b")), "id")
     n = F.sum(hit)
     m = rows.groupBy("query_id").agg(n.alias("n"), F.min(F.when(hit == 1, F.col("rank"))).alias("first"), F.sum(hit / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
@@ -197,7 +228,14 @@ def leak_count(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {MEMORIES_SQL}, c AS (SELECT id, layer, len(content) // 4 + 1 AS cost, sum(len(content) // 4 + 1) OVER (PARTITION BY layer ORDER BY intensity DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM mem)
 SELECT id, layer, cost, CAST(used AS BIGINT) AS used FROM c WHERE used <= 20000""")
 def token_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """In each layer, the strongest records until their estimated tokens pass a budget."""
-    w = Window.partitionBy("layer").orderBy(F.desc("intensity"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    """In each layer, the strongest records until their estimated tokens pass a budget.
+
+    Costs are summed for each strength first; only the rows of strengths that begin within the budget are put in order.
+    """
     cost = (F.floor(F.char_length("content") / 4) + 1).cast("long")
-    return memories(spark, d).select("id", "layer", "intensity", cost.alias("cost")).withColumn("used", F.sum("cost").over(w)).where("used <= 20000").select("id", "layer", "cost", "used")
+    rows = memories(spark, d).select("id", "layer", "intensity", cost.alias("cost"))
+    sums = rows.groupBy("layer", "intensity").agg(F.sum("cost").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("layer").orderBy(F.desc("intensity")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumn("before", before).where("before < 20000").select("layer", "intensity", "before")
+    own = F.sum("cost").over(Window.partitionBy("layer", "intensity").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(starts, ["layer", "intensity"]).select("id", "layer", "cost", (F.col("before") + own).alias("used")).where("used <= 20000")
