@@ -82,8 +82,22 @@ def test_repeats_and_hours(spark, tmp_path):
     assert sorted(got["id"]) == [1, 2, 3]
     got = _run(spark, [[("k", t) for _, t in rows]], "kind string, at timestamp", jobs.by_hour, tmp_path / "b", "update").sort_values("batch").groupby("hour").last()
     assert got["n"].tolist() == [4, 1]
-    touches = spark.createDataFrame([(1, at), (1, at + datetime.timedelta(minutes=50)), (1, at + datetime.timedelta(hours=3))], "id long, at timestamp")
-    assert sorted(x["touches"] for x in jobs.uses(touches).collect()) == [1, 2]
+    after = lambda m: (1, at + datetime.timedelta(minutes=m))
+    got = _run(spark, [[after(0), after(40)], [after(80), after(100), after(141)]], "id long, at timestamp", jobs.uses, tmp_path / "c", "update").sort_values("batch")
+    assert got["uses"].tolist() == [1, 3]  # 0, 80 and 141: an hour is counted from the last that counted
+
+
+def test_firing_is_bounded(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    events = [(1, at + datetime.timedelta(minutes=m), e) for m, e in ((0, "fire"), (5, "fire"), (70, "fire"), (140, "fire"), (150, "done"), (160, "fire"))]
+    got = _run(spark, [events], "id long, at timestamp, event string", lambda s: jobs.intentions(s, cooldown_s=3600, max_fires=2), tmp_path, "update")
+    assert got[["state", "fires", "refused"]].values.tolist() == [["done", 2, 2]]
+
+
+def test_replicas_merge_alike_in_any_order(spark):
+    rows = [(1, "armed", 5, 1), (1, "done", 5, 0), (1, "fired", 4, 3), (2, "pending", 1, 0), (2, "armed", 2, 0)]
+    make = lambda r: sorted(map(tuple, jobs.merged_intentions(spark.createDataFrame(r, "id long, state string, updated_at long, fires long")).collect()))
+    assert make(rows) == make(rows[::-1]) == [(1, "done", 5, 3), (2, "armed", 2, 0)]
 
 
 def test_timers(spark):

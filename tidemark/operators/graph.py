@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import valid_at
+from ..sources.tables import cut
+
+#: Doublings after which a chain must be a cycle: no table has 2**48 rows.
+ROUNDS = 48
+#: Types of edges that one walk takes at most.
+TYPES = 64
 
 
 def neighbours(edges: DataFrame, at: Column | None = None) -> DataFrame:
@@ -15,24 +23,42 @@ def neighbours(edges: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def k_hops(edges: DataFrame, starts: DataFrame, hops: int, at: Column | None = None, visible: DataFrame | None = None) -> DataFrame:
-    """(start, id, hops): what each start reaches, with the least number of hops. Hidden nodes are never walked through."""
+    """(start, id, hops): what each start reaches, with the least number of hops. Hidden nodes are never walked through.
+
+    Edges with a type are walked one type at a time, and the least number of hops over the types holds. What a hop
+    reaches is written to the checkpoint folder before the next.
+    """
+    if "type" in edges.columns:
+        kinds = [r["type"] for r in edges.select("type").distinct().orderBy("type").limit(TYPES + 1).collect()]
+        if len(kinds) > TYPES:
+            raise ValueError(f"more than {TYPES} types of edges")
+        each = [k_hops(edges.where(F.col("type") == t).drop("type"), starts, hops, at, visible) for t in kinds]
+        return reduce(DataFrame.unionAll, each).groupBy("start", "id").agg(F.min("hops").alias("hops"))
     both = neighbours(edges, at)
     if visible is not None:
         both = both.join(visible.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     reached = front = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops"))
     for hop in range(1, hops + 1):
         front = front.join(both, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct().join(reached, ["start", "id"], "left_anti").select("start", "id", F.lit(hop).alias("hops"))
+        front = cut(front)
         reached = reached.unionAll(front)
     return reached.where("hops > 0")
 
 
-def chains(rows: DataFrame, parent: str, depth: int) -> DataFrame:
-    """(id, root, steps): the farthest ancestor of each row within depth steps."""
-    links = rows.where(F.col(parent).isNotNull()).select(F.col("id").alias("child"), F.col(parent).alias("above"))
-    at = rows.select("id", F.col("id").alias("root"), F.lit(0).alias("steps"))
-    for _ in range(depth):
-        at = at.join(links, F.col("root") == F.col("child"), "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.col("above").isNotNull().cast("int")).alias("steps"))
-    return at
+def chains(rows: DataFrame, parent: str) -> DataFrame:
+    """(id, root, steps): the farthest ancestor of each row and how far it is, over chains of any length.
+
+    Pointers are doubled: a round replaces each row's ancestor by that one's ancestor, so the rounds grow with the
+    logarithm of the longest chain, and end when nothing moves. Each is written to the checkpoint folder. A parent
+    that is no row ends the chain. Rows of a cycle have no root, and an error says so.
+    """
+    at = rows.select("id", F.coalesce(parent, "id").alias("root"), F.col(parent).isNotNull().cast("long").alias("steps"))
+    for _ in range(ROUNDS):
+        above = at.select(F.col("id").alias("at"), F.col("root").alias("above"), F.col("steps").alias("more"))
+        at = cut(at.join(above, F.col("root") == F.col("at"), "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
+        if at.where("moved").isEmpty():
+            return at.select("id", "root", "steps")
+    raise ValueError("a chain of parents leads back to itself")
 
 
 def hubs(edges: DataFrame, least: int) -> DataFrame:

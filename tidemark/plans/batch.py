@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import MEMORIES_SQL, memories, table
+from ..streaming.jobs import TRANSITIONS
 
 REGISTERED: dict = {}
 #: Half-life of a ledger event in days and the weight of harm. Fixed values.
@@ -51,12 +52,19 @@ def arm_liveness(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-rank percentiles of each kind: ranks from counts of distinct values, not one sort of a kind."""
-    v = table(spark, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("event_type")))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("value")))
-    return v.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Nearest-rank percentiles of each kind: sketches bracket them, and only values within the brackets are ranked."""
+    v = table(spark, d, "events").where("value is not null").select("event_type", "value")
+    ps, slack, accuracy = (0.5, 0.95), 0.002, 4000
+    marks = v.groupBy("event_type").agg(F.count(F.lit(1)).alias("all"), *(F.percentile_approx("value", min(1.0, max(0.0, p + s)), accuracy).alias(f"{n}{i}") for i, p in enumerate(ps) for n, s in (("lo", -slack), ("hi", slack))))
+    rows = v.join(F.broadcast(marks), "event_type")  # a row for each kind
+    below = rows.groupBy("event_type").agg(*(F.count_if(F.col("value") < F.col(f"lo{i}")).alias(f"under{i}") for i in range(len(ps))))
+    out = marks.select("event_type")
+    for i, p in enumerate(ps):
+        near = rows.where(F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}"))).groupBy("event_type", "all", "value").agg(F.count(F.lit(1)).alias("n")).join(below, "event_type")
+        upto = F.col(f"under{i}") + F.sum("n").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        found = near.withColumn("upto", upto).where(F.col("upto") >= F.ceil(F.col("all") * p)).groupBy("event_type").agg(F.min("value").alias(f"p{round(100 * p)}"))
+        out = out.join(found, "event_type")
+    return out
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -73,12 +81,22 @@ def emotional_arc(spark: SparkSession, d: str) -> DataFrame:
     return w.select("week", "n", "mean", F.when(F.col("mean") > before, "rising").when(F.col("mean") < before, "falling").otherwise("steady").alias("arc"))
 
 
-@query("WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600000000 THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS uses, count(*) AS events, max(ts) AS last_at FROM g GROUP BY user_id")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events), nxt AS (SELECT a.user_id, a.t, min(b.t) AS after FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.t - a.t > 3600000000 GROUP BY a.user_id, a.t),
+c AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT c.user_id, n.after FROM c JOIN nxt n ON c.user_id = n.user_id AND c.t = n.t WHERE n.after IS NOT NULL),
+u AS (SELECT user_id, count(*) AS uses, max(t) AS last_use FROM c GROUP BY user_id)
+SELECT u.user_id, uses, last_use, n AS events FROM u JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) x ON u.user_id = x.user_id""")
 def usage_reinforce_debounced(spark: SparkSession, d: str) -> DataFrame:
-    """Uses of a record, those within an hour of the last one as one."""
-    before = F.lag(_us("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    g = table(spark, d, "events").select("user_id", "ts", F.when(_us("ts") - before <= 3_600_000_000, 0).otherwise(1).alias("new"))
-    return g.groupBy("user_id").agg(F.sum("new").alias("uses"), F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_at"))
+    """Uses of a record: a touch counts if more than an hour has passed since the last one that counted.
+
+    Whether a touch counts depends on all before it, so a record's moments, each once, are folded in order in one row;
+    streaming.jobs.uses() keeps only the last use.
+    """
+    moments = table(spark, d, "events").groupBy("user_id", _us("ts").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    each = moments.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.sum("n").alias("events"))
+    start = F.struct(F.lit(0).cast("long").alias("uses"), F.lit(None).cast("long").alias("last_use"))
+    counts = lambda s, t: s["last_use"].isNull() | (t - s["last_use"] > 3_600_000_000)
+    step = lambda s, t: F.struct((s["uses"] + counts(s, t).cast("long")).alias("uses"), F.when(counts(s, t), t).otherwise(s["last_use"]).alias("last_use"))
+    return each.select("user_id", F.aggregate("ts", start, step).alias("s"), "events").select("user_id", "s.uses", "s.last_use", "events")
 
 
 @query(f"""WITH {MEMORIES_SQL}, c AS (SELECT id, layer, CASE layer WHEN 'short-term' THEN 'mid-term' ELSE 'long-term' END AS target,
@@ -107,24 +125,38 @@ def repeat_timer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where(F.col("ts").cast("timestamp") <= F.timestamp_seconds(now)).select("event_id", (due + 21600 * (F.floor(late / 21600) + 1)).cast("long").alias("next_at"))
 
 
-_MOVES = [("pending", "view", "armed"), ("armed", "click", "fired"), ("armed", "error", "dismissed"), ("fired", "purchase", "done")]
+#: What each kind of event asks of an intention here.
+_ASKS = {"signup": "arm", "view": "snooze", "click": "fire", "error": "invalidate", "purchase": "done"}
+
+
+def _asked_sql() -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ASKS.items()) + " END"
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, {_asked_sql()} AS ask, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT DISTINCT user_id, CAST('pending' AS VARCHAR) AS state, CAST(0 AS BIGINT) AS n FROM e UNION ALL
-  SELECT f.user_id, CASE {' '.join(f"WHEN f.state = '{a}' AND e.event_type = '{b}' THEN '{c}'" for a, b, c in _MOVES)} ELSE f.state END, e.n FROM f JOIN e ON f.user_id = e.user_id AND e.n = f.n + 1)
+  SELECT f.user_id, CASE f.state || '|' || e.ask {' '.join(f"WHEN '{a}|{b}' THEN '{c}'" for (a, b), c in TRANSITIONS.items())} ELSE f.state END, e.n FROM f JOIN e ON f.user_id = e.user_id AND e.n = f.n + 1)
 SELECT user_id, arg_max(state, n) AS state, max(n) AS events FROM f GROUP BY user_id""")
 def intention_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The state that each user's events lead to, in order of time; other events change nothing."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("es"), F.count(F.lit(1)).alias("events"))
-
-    def step(state, event):
-        out = state
-        for a, b, c in _MOVES:
-            out = F.when((state == a) & (event["event_type"] == b), F.lit(c)).otherwise(out)
-        return out
-
-    return e.select("user_id", F.aggregate("es", F.lit("pending"), step).alias("state"), "events")
+    """The state that each user's events lead to, in order of time; events that a state does not allow change nothing.
+
+    The events of an hour are folded into a map from each state to the one they lead to; a day's maps and then all
+    days' are put together in order, so no task has a user's events whole.
+    """
+    states = sorted({a for a, _ in TRANSITIONS} | set(TRANSITIONS.values()))
+    moves = F.create_map(*(F.lit(x) for (a, b), c in TRANSITIONS.items() for x in (f"{a}|{b}", c)))
+    asks = F.try_element_at(F.create_map(*(F.lit(x) for p in _ASKS.items() for x in p)), F.col("event_type"))
+    own = F.array(*map(F.lit, states))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", asks.alias("ask")).where("ask is not null")
+    after = lambda s, ask: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit("|"), ask)), s)
+    hours = e.groupBy("user_id", F.date_trunc("hour", "ts").alias("at")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ask"))).alias("es"))
+    maps = hours.select("user_id", "at", F.size("es").cast("long").alias("n"), F.aggregate("es", own, lambda s, x: F.transform(s, lambda now: after(now, x["ask"]))).alias("ends"))
+    through = lambda s, m: F.transform(s, lambda now: F.element_at(m, F.array_position(own, now).cast("int")))
+    for unit in ("day", "year"):
+        joined = maps.groupBy("user_id", F.date_trunc(unit, "at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "ends"))).alias("ms"), F.sum("n").alias("n"))
+        maps = joined.select("user_id", "at", "n", F.aggregate("ms", own, lambda s, m: through(s, m["ends"])).alias("ends"))
+    all_ = maps.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "ends"))).alias("ms"), F.sum("n").alias("events"))
+    return all_.select("user_id", F.element_at(F.aggregate("ms", own, lambda s, m: through(s, m["ends"])), states.index("pending") + 1).alias("state"), "events")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")

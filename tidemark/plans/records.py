@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import content_hash, days_between, has_all, level, valid_at
+from ..functions.columns import days_between, has_all, level, valid_at
 from ..operators import graph as G
 from ..sources.tables import MEMORIES_SQL, memories, table
 
@@ -105,18 +105,37 @@ def khop_related(spark: SparkSession, d: str) -> DataFrame:
     return G.k_hops(e, e.where("src % 20 = 0").select(F.col("src").alias("id")).distinct(), 2)
 
 
-@query(f"""WITH RECURSIVE {MEMORIES_SQL}, w AS (SELECT id, id AS root, 0 AS steps FROM mem UNION ALL SELECT w.id, m.parent_id, steps + 1 FROM w JOIN mem m ON w.root = m.id WHERE m.parent_id IS NOT NULL AND steps < 5)
-SELECT id, arg_max(root, steps) AS root, max(steps) AS steps FROM w GROUP BY id""")
+#: Of three chunks in a row each follows the one before, and every fourth record was promoted from a chunk.
+_PARENT = "CASE WHEN id % 4 <> 0 THEN id - 1 WHEN id % 16 = 8 THEN id - 8 END"
+
+
+def _walk_sql(link: str, name: str) -> str:
+    return f"""{name}_w AS (SELECT id, id AS root, 0 AS steps FROM mem UNION ALL SELECT w.id, m.{link}, steps + 1 FROM {name}_w w JOIN link m ON w.root = m.id WHERE m.{link} IS NOT NULL),
+{name} AS (SELECT id, arg_max(root, steps) AS root, CAST(max(steps) AS BIGINT) AS steps FROM {name}_w GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {MEMORIES_SQL}, link AS (SELECT id, {_PARENT} AS above FROM mem), {_walk_sql('above', 'up')} SELECT id, root, steps FROM up")
 def lineage_chain(spark: SparkSession, d: str) -> DataFrame:
-    """The first ancestor of each record within five steps."""
-    return G.chains(memories(spark, d), "parent_id", 5)
+    """The first ancestor of each record."""
+    return G.chains(memories(spark, d).select("id", F.expr(_PARENT).alias("above")), "above")
 
 
-@query(f"""WITH RECURSIVE {MEMORIES_SQL}, w AS (SELECT id, id AS root, 0 AS steps FROM mem UNION ALL SELECT w.id, m.supersedes_id, steps + 1 FROM w JOIN mem m ON w.root = m.id WHERE m.supersedes_id IS NOT NULL AND steps < 8)
-SELECT id, arg_max(root, steps) AS root, max(steps) AS steps FROM w GROUP BY id""")
+@query(f"WITH RECURSIVE {MEMORIES_SQL}, link AS (SELECT m.id, m.supersedes_id AS above, n.id AS below FROM mem m LEFT JOIN mem n ON n.supersedes_id = m.id), {_walk_sql('above', 'up')}, {_walk_sql('below', 'down')} SELECT up.id, up.root, up.steps, down.root AS head, down.steps AS later FROM up JOIN down ON up.id = down.id")
 def supersession_history(spark: SparkSession, d: str) -> DataFrame:
-    """The oldest record that each supersedes within eight steps."""
-    return G.chains(memories(spark, d), "supersedes_id", 8)
+    """The oldest record that each supersedes and the newest that supersedes it, over chains of any length."""
+    m = memories(spark, d).select("id", "supersedes_id")
+    next_ = m.where("supersedes_id is not null").groupBy(F.col("supersedes_id").alias("id")).agg(F.max("id").alias("below"))
+    up, down = G.chains(m, "supersedes_id"), G.chains(m.join(next_, "id", "left").select("id", "below"), "below")
+    return up.join(down.select("id", F.col("root").alias("head"), F.col("steps").alias("later")), "id")
+
+
+@query(f"WITH RECURSIVE {MEMORIES_SQL}, link AS (SELECT m.id, n.id AS below FROM mem m LEFT JOIN mem n ON n.supersedes_id = m.id), {_walk_sql('below', 'down')} SELECT id, root AS head FROM down JOIN mem h ON h.id = down.root WHERE (h.valid_to IS NULL OR h.valid_to > TIMESTAMP '{_NOW}')".replace("SELECT id, root", "SELECT down.id, root"))
+def open_head(spark: SparkSession, d: str) -> DataFrame:
+    """The newest record of each chain of supersessions, if it has not ended."""
+    m = memories(spark, d)
+    head = supersession_history(spark, d).select("id", "head")
+    open_ = m.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(_NOW).cast("timestamp"))).select(F.col("id").alias("head"))
+    return head.join(open_, "head", "left_semi").select("id", "head")
 
 
 @query(f"WITH {MEMORIES_SQL} SELECT id FROM mem WHERE id NOT IN (SELECT supersedes_id FROM mem WHERE supersedes_id IS NOT NULL) AND (valid_to IS NULL OR valid_to > TIMESTAMP '{_NOW}')")
@@ -133,12 +152,29 @@ def hub_nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.hubs(_orders(spark, d), 15)
 
 
-@query("SELECT p_partkey AS id, p_name AS entity, count(*) AS mentions FROM part JOIN lineitem ON l_partkey = p_partkey WHERE contains(lower(p_name), '1') GROUP BY p_partkey, p_name")
+#: What is looked for among the names of parts, as a whole and word by word, and rows for each word.
+_SOUGHT = ["cold widget", "large bolt ring", "tiny brass gear", "nothing here"]
+_PER_WORD = 10
+
+
+@query("WITH q AS (SELECT unnest([" + ", ".join(f"'{q}'" for q in _SOUGHT) + f"""]) AS query), m AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part),
+whole AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY id) AS nth FROM q JOIN m ON contains(name, query)),
+w AS (SELECT query, word, count(*) OVER (PARTITION BY query, word) AS n, id, row_number() OVER (PARTITION BY query, word ORDER BY id) AS nth FROM (SELECT query, unnest(list_distinct(list_filter(string_split(query, ' '), lambda t: len(t) >= 4))) AS word FROM q) JOIN m ON contains(name, word)),
+u AS (SELECT query, id, 0 AS level, nth, 0 AS n, '' AS word FROM whole WHERE nth <= {_PER_WORD} UNION ALL SELECT query, id, 1, nth, least(n, {_PER_WORD}), word FROM w WHERE nth <= {_PER_WORD}),
+f AS (SELECT *, row_number() OVER (PARTITION BY query, id ORDER BY level, nth, n, word) AS seen FROM u)
+SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY level, nth, n, word) AS rank FROM f WHERE seen = 1""")
 def entity_substring_arm(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions of entities whose name holds a string; mentions are counted before the join."""
-    mentions = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("mentions"))
-    part = table(spark, d, "part").where(F.lower("p_name").contains("1"))
-    return part.join(mentions, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("entity"), "mentions")
+    """Entities whose name holds a query, then those that hold one of its words, the rarest word first and a row of each in turn."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    words = [(q, w) for q in _SOUGHT for w in dict.fromkeys(q.split()) if len(w) >= 4]
+    sought = spark.createDataFrame([(q, q, 0) for q in _SOUGHT] + [(q, w, 1) for q, w in words], "query string, word string, level int")
+    hits = part.join(F.broadcast(sought), F.col("name").contains(F.col("word"))).select("query", "level", "word", "id")
+    size = hits.groupBy("query", "level", "word").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("query", "level", "word").orderBy("id"))
+    first = hits.withColumn("nth", nth).where(F.col("nth") <= _PER_WORD).join(size, ["query", "level", "word"])
+    key = F.struct("level", "nth", F.when(F.col("level") == 0, 0).otherwise(F.least("n", F.lit(_PER_WORD))), F.when(F.col("level") == 0, "").otherwise(F.col("word")))
+    once = first.groupBy("query", "id").agg(F.min(key).alias("key"))
+    return once.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy("key")).alias("rank"))
 
 
 _DRIFT = "SELECT d.doc_id, md5(coalesce(d.text, '')) AS h, l.doc_id AS i, CASE WHEN l.quality = 0 THEN 'stale' ELSE md5(coalesce(d.text, '')) END AS ih, coalesce(d.doc_id, l.doc_id) AS id FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"
@@ -169,6 +205,6 @@ def tombstone_anti(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MEMORIES_SQL} SELECT id, substring(sha256(content), 1, 16) AS content_hash, count(*) OVER (PARTITION BY content) AS copies, id = min(id) OVER (PARTITION BY content) AS kept FROM mem")
 def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The first record of each content hash; groups are counted before they are joined back."""
-    m = memories(spark, d).select("id", content_hash(F.col("content")).alias("content_hash"))
-    g = m.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    return m.join(g, "content_hash").select("id", "content_hash", "copies", (F.col("id") == F.col("first")).alias("kept"))
+    m = memories(spark, d).select("id", F.sha2("content", 256).alias("whole"))
+    g = m.groupBy("whole").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    return m.join(g, "whole").select("id", F.substring("whole", 1, 16).alias("content_hash"), "copies", (F.col("id") == F.col("first")).alias("kept"))
