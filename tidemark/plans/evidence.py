@@ -51,12 +51,19 @@ def observation_trend(spark: SparkSession, d: str) -> DataFrame:
     return a.select("tag", "recent", "prior", trend.alias("trend"))
 
 
-@query("SELECT user_id, event_type, min(ts) AS first_at, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY user_id, event_type")
+_STORED = "SELECT tag, id AS memory_id, substring(title, 1, 20) AS quote, created_at AS seen_at FROM t WHERE id % 3 <> 0"
+_FOUND = "SELECT tag, id, substring(title, 1, 20), created_at + INTERVAL 1 DAY FROM t WHERE id % 2 = 0"
+
+
+@query(f"WITH {MEMORIES_SQL}, t AS (SELECT unnest(tags) AS tag, id, title, created_at FROM mem), u AS ({_STORED} UNION ALL {_FOUND}), m AS (SELECT tag, memory_id, quote, min(seen_at) AS seen_at FROM u WHERE tag IS NOT NULL GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY tag) AS held, row_number() OVER (PARTITION BY tag ORDER BY seen_at DESC, memory_id) AS nth FROM m) SELECT tag, memory_id, quote, seen_at, held FROM n WHERE nth <= 5")
 def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The union of two sets of evidence, the earliest of equals."""
-    e = table(spark, d, "events")
-    both = e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
-    return both.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"), F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("n"))
+    """Stored evidence of each tag and what was found now, each (record, quote) once with its earliest time; the five newest are kept."""
+    t = memories(spark, d).select(F.explode("tags").alias("tag"), F.col("id").alias("memory_id"), F.substring("title", 1, 20).alias("quote"), F.col("created_at").alias("seen_at")).where("tag is not null")
+    found = t.where("memory_id % 2 = 0").withColumn("seen_at", F.col("seen_at") + F.expr("interval 1 day"))
+    m = t.where("memory_id % 3 <> 0").unionByName(found).groupBy("tag", "memory_id", "quote").agg(F.min("seen_at").alias("seen_at"))
+    held = m.groupBy("tag").agg(F.count(F.lit(1)).alias("held"))
+    nth = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("seen_at"), "memory_id"))
+    return m.withColumn("nth", nth).where("nth <= 5").join(held, "tag").select("tag", "memory_id", "quote", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), "held")
 
 
 @query(f"""WITH {MEMORIES_SQL}, e AS (SELECT id, coalesce(supersedes_id, id) AS memory_id, trim(title, ' ') AS quote FROM mem)
@@ -107,11 +114,11 @@ def orphan_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return one(a, b, "unlabelled").unionAll(one(b, a, "unknown"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 48)")
 def orphan_aux(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes without an edge."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select(F.col("c_custkey").alias("id"))
+    """Nodes without an edge of some weight."""
+    edges = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").join(edges, "p_partkey", "left_anti").select(F.col("p_partkey").alias("id"))
 
 
 @query(f"WITH {MEMORIES_SQL} SELECT id FROM mem WHERE list_has_any(tags, ['de', 'src5', 'src7'])")
@@ -140,14 +147,23 @@ def regression_gate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("r.metric", F.round("r.v", 6).alias("value"), "r.baseline", (F.col("r.v") < F.col("r.baseline") - SLACK).alias("regressed"))
 
 
-def chain(rows: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
-    """rows with link: the hash of a row's payload behind the hash of the payload before it, 'GENESIS' before the first."""
-    own = F.sha2(F.coalesce(F.col(payload), F.lit("")), 256)
-    before = F.coalesce(F.lag(own).over(Window.partitionBy(key).orderBy(*order)), F.lit("GENESIS"))
-    return rows.withColumn("link", F.sha2(F.concat(before, F.lit(":"), F.coalesce(F.col(payload), F.lit(""))), 256))
+def chain(rows: DataFrame, key: str, order: list[str], payload: str, written: str) -> DataFrame:
+    """rows with link: the hash of what is written behind the hash of the payload before it, 'GENESIS' before the first."""
+    before = F.coalesce(F.lag(F.sha2(payload, 256)).over(Window.partitionBy(key).orderBy(*order)), F.lit("GENESIS"))
+    return rows.withColumn("link", F.sha2(F.concat(before, F.lit(":"), F.col(written)), 256))
 
 
-@query("SELECT event_id, user_id, sha256(coalesce(lag(sha256(coalesce(props, ''))) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') || ':' || coalesce(props, '')) AS link FROM events")
+#: Events whose stored link was made from another payload.
+_FORGED = "event_id % 50 = 7"
+_LINK = "sha256(coalesce(lag(sha256(coalesce(props, ''))) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') || ':' || {})"
+
+
+@query(f"WITH l AS (SELECT event_id, user_id, ts, {_LINK.format(f'CASE WHEN {_FORGED} THEN {chr(39)}forged{chr(39)} ELSE coalesce(props, {chr(39)}{chr(39)}) END')} AS stored, {_LINK.format('coalesce(props, ' + chr(39) * 2 + ')')} AS link FROM events) SELECT user_id, count(*) AS entries, count(*) FILTER (WHERE stored <> link) AS broken, min(event_id) FILTER (WHERE stored <> link) AS first_broken FROM l GROUP BY user_id")
 def hash_chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    """The chain of hashes of each user's log; a stored link that differs shows a change."""
-    return chain(table(spark, d, "events"), "user_id", ["ts", "event_id"], "props").select("event_id", "user_id", "link")
+    """Each user's log against the links that were stored with it: entries, and those whose link is not that of their payload."""
+    e = table(spark, d, "events")
+    stored = chain(e.withColumn("own", F.coalesce("props", F.lit(""))).withColumn("written", F.when(F.expr(_FORGED), "forged").otherwise(F.col("own"))), "user_id", ["ts", "event_id"], "own", "written")
+    both = stored.withColumnRenamed("link", "stored")
+    rows = chain(both, "user_id", ["ts", "event_id"], "own", "own")
+    bad = F.col("stored") != F.col("link")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(bad).alias("broken"), F.min(F.when(bad, F.col("event_id"))).alias("first_broken"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import MEMORIES_SQL, memories, table
+from ..functions import signals
+from ..sources.tables import MEMORIES_SQL, NOTES_SQL, memories, notes, table
+from . import judging
 
 REGISTERED: dict = {}
 _EMAIL = r"[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]+"
@@ -19,11 +21,22 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '<h[1-3][^>]*>[^<]*</h[1-3]>')), '<[^>]*>', '', 'g')) AS heading FROM pages")
+_HEADING = r"(?m)^#{1,6}[ \t]+(.+)$"
+
+
+@query(f"WITH {NOTES_SQL}, h AS (SELECT id, regexp_extract_all(text, '{_HEADING}', 1) AS xs FROM note) SELECT id, unnest(xs) AS heading, generate_subscripts(xs, 1) AS place FROM h")
 def heading_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The headings of each page."""
-    found = F.regexp_extract_all("html", F.lit("<h[1-3][^>]*>[^<]*</h[1-3]>"), F.lit(0))
-    return table(spark, d, "pages").select("page_id", F.explode(found).alias("h")).select("page_id", F.trim(F.regexp_replace("h", "<[^>]*>", "")).alias("heading"))
+    """The Markdown headings of each note, in order."""
+    return notes(spark, d).select("id", F.posexplode(F.regexp_extract_all("text", F.lit(_HEADING), F.lit(1))).alias("at", "heading")).select("id", "heading", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query(f"WITH {NOTES_SQL}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM note), h AS (SELECT id, n, line, CASE WHEN regexp_matches(line, '^#{{1,6}}[ \t]+.+$') THEN regexp_extract(line, '^#{{1,6}}[ \t]+(.+)$', 1) END AS heading FROM l) SELECT id, n AS line, last_value(heading IGNORE NULLS) OVER (PARTITION BY id ORDER BY n) AS section FROM h WHERE line <> ''")
+def section_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The last heading at or before each line of a note that is not empty."""
+    rows = notes(spark, d).select("id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    heading = F.nullif(F.regexp_extract("text", r"^#{1,6}[ \t]+(.+)$", 1), F.lit(""))
+    w = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("section", F.last(heading, ignorenulls=True).over(w)).where("text <> ''").select("id", (F.col("at") + 1).cast("long").alias("line"), "section")
 
 
 @query(f"SELECT entity, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_EMAIL}')) AS entity FROM documents) GROUP BY entity")
@@ -53,15 +66,11 @@ def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.max("turn").alias("last_turn"))
 
 
-_QUADRANT = ("contains(lower(content), 'password') OR contains(lower(content), 'token')", "contains(lower(content), '@')", "contains(content, '|')")
-
-
-@query(f"WITH {MEMORIES_SQL}, q AS (SELECT CASE WHEN {_QUADRANT[0]} THEN 'secret' WHEN {_QUADRANT[1]} THEN 'people' WHEN {_QUADRANT[2]} THEN 'table' ELSE 'prose' END AS quadrant, intensity FROM mem) SELECT quadrant, count(*) AS n, round(avg(intensity), 6) AS intensity FROM q GROUP BY quadrant")
+@query(f"WITH q AS ({judging.REGISTERED['quadrant_classify'][1].replace('WITH ' + MEMORIES_SQL + ', v AS', 'WITH ' + MEMORIES_SQL + ', v AS')}) SELECT quadrant, count(id) AS n FROM (SELECT unnest(['core', 'work', 'soul', 'wild']) AS quadrant) LEFT JOIN q USING (quadrant) GROUP BY quadrant")
 def quadrant_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Records by the first class whose keywords they hold."""
-    has = lambda x: F.lower("content").contains(x)
-    q = F.when(has("password") | has("token"), "secret").when(has("@"), "people").when(has("|"), "table").otherwise("prose")
-    return memories(spark, d).select(q.alias("quadrant"), "intensity").groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("intensity"), 6).alias("intensity"))
+    """Records in each quadrant, also where there are none."""
+    n = judging.quadrant_classify(spark, d).groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(q,) for q in signals.QUADRANTS], "quadrant string").join(n, "quadrant", "left").select("quadrant", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT text) AS texts FROM documents GROUP BY lang, source")
