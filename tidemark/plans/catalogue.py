@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, evidence, extract, judging, ranking, records, search, text
+from . import batch, context, evidence, extract, judging, ranking, records, search, text
 
-_PARTS = search, ranking, records, evidence, text, extract, batch, judging
+_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context
 
 
 def queries() -> dict:
