@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, context, evidence, extract, judging, ranking, records, search, text
+from . import batch, context, evidence, extract, judging, ranking, records, search, text, upkeep
 
-_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context
+_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep
 
 
 def queries() -> dict:
