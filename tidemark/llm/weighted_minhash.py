@@ -126,7 +126,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document in descending doc_id (after the last: the first). Null texts count as empty and a null doc_id as the
     largest; rows that share a doc_id follow each other by a hash of their texts. A single document is its own next. An
     empty table gives an empty one. Texts are shuffled once, by ranges of like size; their terms are counted where they
-    lie, and fingerprints are written once to the shared folder, from where each is read for its own row and the one before.
+    lie, and what each row comes to is written once to the shared folder, from where its fingerprint is read for the row
+    before, too.
     """
     rows = identified(docs, id_col, text_col)
     both = with_next(rows, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -143,9 +144,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weights = terms.select("part", "n", F.xxhash64("word").alias("term"), flag.bitwiseAND(F.lit(1)).alias("w"), F.shiftright(flag, 1).alias("e"))
     weights = weights.groupBy("part", "n", "term").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
     marks = signatures(weights, ["part", "n"], {"w": "fingerprint", "e": "edited_fingerprint"}, samples)
-    marks, _ = materialise(marks.select("part", "n", *(F.coalesce(c, no_words(samples)).alias(c) for c in ("fingerprint", "edited_fingerprint"))), "marks")
-    follow = marks.select(F.col("part").alias("next_part"), F.col("n").alias("next_n"), F.col("fingerprint").alias("next_fingerprint"))
-    out = told.join(marks, ["part", "n"]).join(follow, ["next_part", "next_n"])
+    marks = marks.select("part", "n", *(F.coalesce(c, no_words(samples)).alias(c) for c in ("fingerprint", "edited_fingerprint")))
+    marked, _ = materialise(told.join(marks, ["part", "n"]), "marks")
+    follow = marked.select(F.col("part").alias("next_part"), F.col("n").alias("next_n"), F.col("fingerprint").alias("next_fingerprint"))
+    out = marked.join(follow, ["next_part", "next_n"])
     return out.select(
         id_of(F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
