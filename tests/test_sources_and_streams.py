@@ -41,6 +41,37 @@ def test_notes_and_chats(spark, tmp_path):
     assert [(r["role"], r["text"]) for r in files.read_chats(spark, str(tmp_path / "c.jsonl")).orderBy("turn").collect()] == [("user", "hi"), ("assistant", "yes\nno")]
 
 
+def test_copies_listings_and_rejects(spark, tmp_path):
+    for name, r in {"a.json": {"id": "a", "content": "x", "layer": "mid-term", "tags": ["t", "u"], "created_at": "2024-01-01T00:00:00Z"}, "b.json": {"id": "b", "content": "y", "layer": "mid-term", "tags": ["t"], "created_at": "2024-01-03T00:00:00Z", "valid_to": "2024-01-04T00:00:00Z"}, "b.sync-conflict-20240101-1.json": {"id": "b", "content": "z"}, "c.json": {"id": "c"}}.items():
+        (tmp_path / name).write_text(json.dumps(r))
+    good, bad = files.read_records(spark, str(tmp_path))
+    assert [r["id"] for r in files.listed(good, layer="mid-term", tags=["t"]).collect()] == ["b", "a"]
+    assert [r["id"] for r in files.listed(good, layer="mid-term", as_of="2024-01-05", limit=1).collect()] == ["a"]
+    assert [r["id"] for r in files.listed(good, tags=["u"], created_after="2024-01-02").collect()] == []
+    assert [(r["id"], r["of"]) for r in files.conflict_copies(spark, str(tmp_path)).collect()] == [("b", "b.json")]
+    assert [tuple(r) for r in files.rejects_by_cause(bad).collect()] == [("no content", 1)]
+    files.write_quarantine(bad, f"{tmp_path}/q")
+    assert spark.read.json(f"{tmp_path}/q").count() == 1
+
+
+def test_chats_seeds_and_journals(spark, tmp_path):
+    messages = [{"id": 1, "type": "message", "date": "2024-01-01T10:00:00", "from": "Ada", "text": "hi"}, {"id": 2, "type": "message", "date": "2024-01-01T11:00:00", "from": "Bob", "text": ["see ", {"type": "link", "text": "https://x.org"}], "reply_to_message_id": 1}, {"id": 3, "type": "service", "date": "2024-01-01T11:00:00", "text": "joined"}, {"id": 4, "type": "message", "date": "2024-01-02T11:00:00", "from": "Bob", "text": "", "photo": "p.jpg"}]
+    (tmp_path / "t.json").write_text(json.dumps({"name": "Chat", "messages": messages}))
+    got = files.read_telegram(spark, str(tmp_path / "t.json"))
+    assert [(r["message"], r["text"], r["has_media"], r["reply_to"]) for r in got.orderBy("message").collect()] == [(1, "hi", False, None), (2, "see https://x.org", False, 1), (4, "", True, None)]
+    assert [(str(r["day"]), r["messages"], r["senders"], r["text"]) for r in files.by_day(got).orderBy("day").collect()] == [("2024-01-01", 2, "Ada, Bob", "Ada: hi\nBob: see https://x.org"), ("2024-01-02", 1, "Bob", "Bob: ")]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.seed.json").write_text(json.dumps({"seed_id": "1", "creator": "c", "experience_summary": "e", "emotional_signature": {"intensity": 7.5, "labels": ["joy"]}}))
+    (tmp_path / "s" / "b.seed.json").write_text(json.dumps({"seed_id": "2", "creator": " "}))
+    good, bad = files.read_seeds(spark, str(tmp_path / "s"))
+    assert [(r["seed_id"], r["emotional_signature"]["intensity"]) for r in good.collect()] == [("1", 7.5)] and [r["lacks"] for r in bad.collect()] == ["creator, experience_summary"]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "j.md").write_text("# Journal\n\n## One day\nfirst\n\nmore\n## Next\nlast\n")
+    assert [(r["entry"], r["title"], r["text"]) for r in files.read_journal(spark, str(tmp_path / "j")).orderBy("entry").collect()] == [(1, "One day", "first\n\nmore"), (2, "Next", "last")]
+    found = spark.createDataFrame([("f1", "s", "d", "v1"), ("f2", "s", "e", "v2"), ("f3", "t", None, "v1")], "file string, name string, description string, version string")
+    assert sorted(map(tuple, files.skill_index(found).collect())) == [("s", 2, 2, "d", "v1"), ("t", 1, 1, None, "v1")]
+
+
 def test_merge_and_bundle(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
     new = spark.createDataFrame([(2, None), (3, "c")], "id long, text string")

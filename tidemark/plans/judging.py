@@ -239,7 +239,7 @@ def _two_arms(spark: SparkSession, d: str) -> DataFrame:
 
     def arm(name: str, e) -> DataFrame:
         rows = v.select("id", e.alias("embedding"))
-        return R.top_k(R.nearest(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), rows), 10).select("query_id", F.lit(name).alias("arm"), "id", "rank")
+        return R.top_k(R.nearest(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), rows, 10), 10).select("query_id", F.lit(name).alias("arm"), "id", "rank")
 
     both = arm("whole", F.col("embedding")).unionAll(arm("half", F.slice("embedding", 1, 32)))
     label = v.select("id", "label")
