@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -22,6 +21,8 @@ UNKNOWN_PENALTY = 10.0
 #: Words longer than this many bytes are decoded alone; others in groups of like length.
 _WIDE = 64
 _GROUP = 20_000
+#: Words whose pieces a task keeps for the texts to come, before it forgets them.
+_KNOWN = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -125,6 +126,7 @@ class Unigram:
     scores: np.ndarray = field(init=False)
     bytes_: np.ndarray = field(init=False)
     raw: list[bytes] = field(init=False)
+    known: dict[bytes, list[int]] = field(init=False, default_factory=dict)
 
     def __post_init__(self) -> None:
         usable = {p.encode(): i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER_DEFINED)}
@@ -191,8 +193,10 @@ class Unigram:
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Identifiers of each text. A space goes before the text and stands in pieces as the marker; empty texts have none."""
         split = [self._words(t) for t in texts]
-        distinct = sorted({w for ws in split for w in ws}, key=len)
-        known: dict[bytes, list[int]] = {}
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        known = self.known
+        distinct = sorted({w for ws in split for w in ws if w not in known}, key=len)
         at = 0
         while at < len(distinct):
             many = _GROUP if len(distinct[at]) <= _WIDE else max(1, _GROUP * _WIDE // (len(distinct[at]) * 16))
@@ -254,8 +258,3 @@ def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([engine.decode(i or ()) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
-
-
-def digest(ids: Sequence[int]) -> str:
-    """A hash of identifiers as 32-bit little-endian numbers."""
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
