@@ -179,7 +179,16 @@ def spans(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEA
     return out
 
 
-@query()
+_LAST = "CASE WHEN contains({w}, {x}) THEN len({w}) - strpos(reverse({w}), reverse({x})) - 1 ELSE -1 END"
+_BARE = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, text, 0 AS chunk, CAST(0 AS BIGINT) AS start, {{end}} AS stop FROM (SELECT *, CAST(0 AS BIGINT) AS since, substring(text, 1, {CHUNK}) AS w FROM t)
+  UNION ALL SELECT doc_id, text, chunk, since, {{end}} FROM (SELECT *, substring(text, CAST(since + 1 AS BIGINT), {CHUNK}) AS w FROM (SELECT doc_id, text, chunk + 1 AS chunk, greatest(start + 1, stop - {OVERLAP}) AS since FROM c WHERE stop < len(text)))),
+s AS (SELECT doc_id, chunk, start, {_BARE.format('substring(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT))')} AS text FROM c)
+SELECT doc_id, chunk, start, substring(md5(start || ':' || text), 1, 12) AS chunk_id, text FROM s WHERE text <> ''""".replace("{end}", f"""CAST(CASE WHEN since + {CHUNK} >= len(text) THEN len(text) WHEN {_LAST.format(w='w', x='chr(10) || chr(10)')} > 0 THEN since + CASE WHEN {_LAST.format(w='w', x='chr(10) || chr(10)')} > {LEAST} THEN {_LAST.format(w='w', x='chr(10) || chr(10)')} ELSE {CHUNK} END
+  WHEN {_LAST.format(w='w', x="'. '")} > {LEAST} THEN since + {_LAST.format(w='w', x="'. '")} + 1 ELSE since + {CHUNK} END AS BIGINT)"""))
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each document with their place; how far one reaches depends on the one before, so a document is one task's loop."""
 
