@@ -18,7 +18,7 @@ AUTHORITY = {"statute": 1.0, "rule": 0.95, "case": 0.92, "form": 0.82, "secondar
 #: Labels of sources by the tier that they have, and what the labels of web sources begin with. Fixed values.
 USER_SOURCES = ["manual", "mcp", "cli", "seed", "telegram", "notion", "convo", "hook", "shared"]
 TOOL_SOURCES = ["tool", "tool-output", "command", "shell", "task-pack"]
-GENERATED_SOURCES = ["skwhisper", "journal-synthesis", "dreaming-engine", "consolidation", "claude-code-hook", "mcp:memory_save_session", "mcp:memory_pre_compact", "observation"]
+GENERATED_SOURCES = ["journal-synthesis", "dreaming-engine", "consolidation", "claude-code-hook", "mcp:memory_save_session", "mcp:memory_pre_compact", "observation"]
 WEB_STARTS = ["web", "http", "fetch", "browser", "search"]
 #: What asks how something is done, and what asks about failures. Fixed values.
 HOWTO = r"(?i)\b(how\s+(do|can|should|to|would)\b|steps?\s+(to|for)\b|procedure|runbook|instructions?\s+(to|for)|way\s+to|recover|restore|fix)"
