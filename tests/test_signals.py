@@ -26,13 +26,15 @@ def said(spark, tmp_path_factory):
     rows += [(101, n, "user", line) for n, line in enumerate(LINES)]
     folder = str(tmp_path_factory.mktemp("said"))
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(i, f"small bolt {i}") for i in range(24)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{folder}/part.parquet")
     return folder
 
 
 @pytest.mark.parametrize("name", ["extract_moments", "bloom_gate", "emotion_detect"])
 def test_same_as_sql_on_lines(spark, said, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{said}/conversations.parquet/*.parquet')")
+    for t in ("conversations", "part"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{said}/{t}.parquet/*.parquet')")
     f, sql = judging.REGISTERED[name]
     got = f(spark, said).toPandas()
     assert len(got) > 40 and plain(got) == plain(db.sql(sql).df())
