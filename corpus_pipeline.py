@@ -11,6 +11,7 @@ from tidemark.llm import line_dedup, near_copies, packing, pii, quality
 from tidemark.llm.common import new_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -20,13 +21,13 @@ def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rest = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
     new = texts.select(F.col("doc_id").alias("id"), "text", F.char_length("text").cast("long").alias("n_chars"))
-    return new.join(rest, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "lang", "source", "n_chars")
+    return new.join(rest, F.col("doc_id").eqNullSafe(F.col("id"))).select(COLUMNS)
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows whose doc_id is in kept; a null one is like any other."""
     ids = kept.select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.select(COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one of least doc_id: SimHash over five-word shingles, completed to all pairs of Jaccard 0.8."""
-    return near_copies.first_copies(docs).select("doc_id", "text", "lang", "source", "n_chars")
+    return near_copies.first_copies(docs.select(COLUMNS))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
