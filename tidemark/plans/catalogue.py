@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, briefs, context, evidence, extract, judging, ranking, records, search, text, upkeep
+from . import batch, briefs, context, evidence, extract, judging, phrases, ranking, records, search, text, upkeep
 
-_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep, briefs
+_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep, briefs, phrases
 
 
 def queries() -> dict:
