@@ -64,3 +64,52 @@ def chains(rows: DataFrame, parent: str) -> DataFrame:
 def hubs(edges: DataFrame, least: int) -> DataFrame:
     """(id, degree) of nodes with at least so many neighbours."""
     return neighbours(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") >= least)
+
+
+def seen_by(rows: DataFrame, needed: Column, readers: dict[str, int]) -> DataFrame:
+    """(reader, id) of the rows (id) that each reader may see: those whose needed level is at most the reader's."""
+    each = F.explode(F.create_map(*(F.lit(x) for pair in readers.items() for x in pair))).alias("reader", "trust")
+    return rows.select("id", needed.alias("needed"), each).where(F.col("needed") <= F.col("trust")).select("reader", "id")
+
+
+def reader_edges(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """(reader, src, dst, type) in both directions, for edges of which a reader may see both ends.
+
+    Whatever else an edge carries is left behind: it could tell of what a reader must not know.
+    """
+    both = edges.select("src", "dst", "type").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")).where("src <> dst").distinct()
+    open_ = both.join(seen.withColumnRenamed("id", "src"), "src")
+    return open_.join(seen.withColumnRenamed("id", "dst"), ["reader", "dst"], "left_semi").select("reader", "src", "dst", "type")
+
+
+def reader_hops(edges: DataFrame, seen: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(reader, start, id, hops, via): what each reader reaches from starts (id) that it may see, over edges (src, dst, type).
+
+    A hidden node is neither returned nor walked through, so what only it connects stays unknown. via is the least type of
+    the edges over which the last hop came. All readers are walked at once; each hop is written before the next.
+    """
+    both = cut(reader_edges(edges, seen))
+    reached = front = seen.join(starts.select("id").distinct(), "id", "left_semi").select("reader", F.col("id").alias("start"), "id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"))
+    for hop in range(1, hops + 1):
+        step = front.select("reader", "start", F.col("id").alias("src")).join(both, ["reader", "src"]).groupBy("reader", "start", F.col("dst").alias("id")).agg(F.min("type").alias("via"))
+        front = cut(step.join(reached.select("reader", "start", "id"), ["reader", "start", "id"], "left_anti").select("reader", "start", "id", F.lit(hop).alias("hops"), "via"))
+        reached = reached.unionAll(front)
+    return reached.where("hops > 0")
+
+
+def within(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(start, key, steps): what each start (key) reaches in up to `most` steps over links (key, next) of at most one next each.
+
+    Jumps of 1, 2, 4, ... steps are made by joining each with itself; the places from 0 to `most` are made from them bit by
+    bit. So joins grow with the logarithm of `most`, and with no chain's length; a chain that runs in a circle is walked on.
+    """
+    jump = cut(links.select("key", "next"))
+    placed = starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("steps"))
+    bit = 1
+    while bit <= most:
+        on = placed.join(jump, "key").select("start", F.col("next").alias("key"), (F.col("steps") + bit).alias("steps")).where(F.col("steps") <= most)
+        placed = cut(placed.unionAll(on))
+        bit *= 2
+        if bit <= most:
+            jump = cut(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("after")), "next").select("key", F.col("after").alias("next")))
+    return placed
