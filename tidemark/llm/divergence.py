@@ -17,7 +17,7 @@ from .common import materialise, remove
 #: Documents of a language that a term must be in, ranks of terms that are told, and the whole that shares are parts of.
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Terms that a task counts before it sends them, sources that are compared at a time, and cells of one comparison.
-_HELD, _BLOCK, _CELLS = 100_000, 256, 2_000_000
+_HELD, _BLOCK, _CELLS = 200_000, 256, 1 << 18
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -28,25 +28,26 @@ def terms_of(text: bytes) -> list[bytes]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each (lang, source, term); a row without a term counts the documents of the group."""
-    kinds = pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()
-    held: dict[tuple, list[int]] = {}
-
-    def sent() -> pa.RecordBatch:
-        columns = [[k[0] for k in held], [k[1] for k in held], [k[2] for k in held], [v[0] for v in held.values()], [v[1] for v in held.values()]]
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            every = pa.array(docs, pa.binary())
+            columns = [pa.array([x] * len(docs), pa.string()) for x in (lang, source)]
+            columns += [every, pa.array(map(n.__getitem__, docs), pa.int64()), pa.array(docs.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            own = Counter(terms_of(text.as_py()))
-            own[None] = 0
-            for term, n in own.items():
-                x = held.setdefault((lang, source, term), [0, 0])
-                x[0] += n
-                x[1] += 1
-            if len(held) > _HELD:
-                yield sent()
-    yield sent()
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            terms = terms_of(text.as_py())
+            n.update(terms)
+            docs.update(set(terms))
+            docs[None] += 1
+        if sum(len(docs) for _, docs in held.values()) > _HELD:
+            yield from sent()
+    yield from sent()
 
 
 def share(n: str, total: str, terms: str) -> str:
