@@ -7,7 +7,6 @@ left are found under the shingles of which near copies must share one, and verif
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import NULL_KEY, connected_components, identified, materialise, remove
+from .common import NULL_KEY, connected_components, identified, materialise, remove, shuffles_removed
 
 SEED, WORDS, THRESHOLD = 42, 5, 0.8
 #: A shingle in more prefixes than this is put at the end of the order; so many of these are told apart by their counts, in so many rounds.
@@ -108,7 +107,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, th
     asked = sets.select("s", "k", "t").join(nodes, "s", "left_semi")
     texts = docs.join(asked, ["k", "t"]).dropDuplicates(["s"]).select("s", "text")
     texts, texts_path = materialise(texts, "texts")
-    _freed(texts)
     both = pairs.join(texts.select(F.col("s").alias("b"), F.col("text").alias("u")), "b").join(texts.select(F.col("s").alias("a"), F.col("text").alias("v")), "a")
     return _freed(materialise(both.select("a", "b", "v", "u").mapInArrow(_similar(words, threshold), "a long, b long"), "links")[0], pairs_path, texts_path)
 
@@ -125,11 +123,9 @@ def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
 
 def _freed(df: DataFrame, *paths: str) -> DataFrame:
-    """df, after the removal of what it no longer needs: files at paths, and shuffles of ended steps, which Spark drops as their plans are collected."""
+    """df, after the removal of the files that it no longer needs."""
     for path in paths:
         remove(df.sparkSession, path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()  # noqa: SLF001
     return df
 
 
@@ -144,7 +140,6 @@ def _common_last(docs: DataFrame, words: int, threshold: float) -> tuple[np.ndar
         posts = docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS).select(F.explode("prefix").alias("h"))
         often = posts.groupBy("h").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(RANKED).collect()
         new = {r["h"]: r["count"] for r in often if r["h"] not in known}
-        _freed(docs)
         if not new or len(known) >= RANKED:
             break
         known |= new
@@ -178,14 +173,18 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the whole texts. Texts with equal sets are worked on as one, and so are all texts without words. 64-bit hashes
     stand for shingles and for sets.
     """
-    docs = identified(docs, id_col, text_col)
+    with shuffles_removed(docs.sparkSession):
+        return _classes(identified(docs, id_col, text_col), words, threshold)
+
+
+def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     common, rank = _common_last(docs, words, threshold)
-    rows, rows_path = materialise(_freed(docs).mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
+    rows, rows_path = materialise(docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
     keys, _ = materialise(rows.select("k", "t", "s"), "keys")
     sets = rows.groupBy("s").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     sets = _freed(materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix"), "sets")[0], rows_path)
-    sizes = _freed(materialise(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")[0])
-    posts = _freed(materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")[0])
+    sizes, sizes_path = materialise(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    posts = _freed(materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")[0], sizes_path)
     small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE)
     links = _verified(_by_simhash(sets), docs, sets, words, threshold)
     comps, _ = materialise(connected_components(links), "components")
