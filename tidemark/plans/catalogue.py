@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, briefs, context, evidence, extract, judging, phrases, ranking, readers, records, search, text, upkeep
+from . import batch, briefs, concepts, context, evidence, extract, judging, phrases, ranking, readers, records, search, text, upkeep
 
-_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep, briefs, phrases, readers
+_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep, briefs, phrases, readers, concepts
 
 
 def queries() -> dict:
