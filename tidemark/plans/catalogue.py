@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, briefs, concepts, context, evidence, extract, judging, phrases, probes, ranking, readers, records, search, text, upkeep
+from . import batch, briefs, concepts, context, evidence, extract, judging, phrases, probes, ranking, readers, records, search, store, text, upkeep
 
-_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep, briefs, phrases, readers, concepts, probes
+_PARTS = search, ranking, records, evidence, text, extract, batch, judging, context, upkeep, briefs, phrases, readers, concepts, probes, store
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder: later steps read it from there, on whatever executor.
-
-    The folder is that of spark.checkpoint.dir. Only a local master, which has no other machines, gets a temporary one
-    where that is unset.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder: that of spark.checkpoint.dir. Only a local master, which has no other machines, gets a temporary one where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = sc.getConf().get("spark.checkpoint.dir", None)
         if not found and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder: later steps read it from there, on whatever executor."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that nothing has used."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of an agent's memory, one for each document; every derived column is a function of doc_id."""
     i = F.col("doc_id")
