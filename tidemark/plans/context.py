@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LEVELS, level, tokens, valid_at
+from ..functions.timewords import time_window
 from ..sources.tables import MEMORIES_SQL, NOTES_SQL, memories, notes, table
 from . import extract, search
 
@@ -324,51 +325,38 @@ _SPANS = {
 }
 
 
-def time_window(text: Column, day: Column) -> tuple[Column, Column]:
-    """[start, end) days that a question means, seen from a day; null if it names no time.
-
-    The first that applies: a day, a month as numbers; yesterday and today; so many days, weeks or months ago; the last
-    or past so many; the last named weekday; this or last week or month; a year.
-    """
-    low = F.lower(text)
-    get = lambda p, i=1: F.nullif(F.regexp_extract(low, p, i), F.lit(""))
-    names = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-    iso, month, year = get(r"\b(\d{4}-\d{2}-\d{2})\b"), get(r"\b(\d{4}-\d{2})\b"), get(r"\b(19\d{2}|20\d{2})\b")
-    ago, ago_unit = get(r"\b(\d+) (day|week|month)s? ago\b").cast("int"), get(r"\b(\d+) (day|week|month)s? ago\b", 2)
-    past, past_unit = get(r"\b(?:last|past) (\d+) (day|week|month)s?\b").cast("int"), get(r"\b(?:last|past) (\d+) (day|week|month)s?\b", 2)
-    named = F.array_position(F.array(*map(F.lit, names)), F.coalesce(get(r"\blast (" + "|".join(names) + r")\b"), F.lit(""))).cast("int") - 1
-    before = F.date_sub(day, (F.pmod(F.weekday(day) - named - 1, F.lit(7)) + 1).cast("int"))
-    week, first = F.trunc(day, "week").cast("date"), F.trunc(day, "month")
-    d = lambda c: c.cast("date")
-    cases = [
-        (iso.isNotNull(), d(iso), F.date_add(d(iso), 1)),
-        (month.isNotNull(), d(F.concat(month, F.lit("-01"))), F.add_months(d(F.concat(month, F.lit("-01"))), 1)),
-        (low.rlike(r"\byesterday\b"), F.date_sub(day, 1), day),
-        (low.rlike(r"\btoday\b"), day, F.date_add(day, 1)),
-        (ago_unit == "day", F.date_sub(day, ago), F.date_add(F.date_sub(day, ago), 1)),
-        (ago_unit == "week", F.date_sub(week, ago * 7), F.date_add(F.date_sub(week, ago * 7), 7)),
-        (ago_unit == "month", F.add_months(first, -ago), F.add_months(first, 1 - ago)),
-        (past_unit == "day", F.date_sub(day, past), F.date_add(day, 1)),
-        (past_unit == "week", F.date_sub(day, past * 7), F.date_add(day, 1)),
-        (past_unit == "month", F.add_months(day, -past), F.date_add(day, 1)),
-        (named >= 0, before, F.date_add(before, 1)),
-        (low.rlike(r"\bthis week\b"), week, F.date_add(week, 7)),
-        (low.rlike(r"\blast week\b"), F.date_sub(week, 7), week),
-        (low.rlike(r"\bthis month\b"), first, F.add_months(first, 1)),
-        (low.rlike(r"\blast month\b"), F.add_months(first, -1), first),
-        (year.isNotNull(), d(F.concat(year, F.lit("-01-01"))), F.add_months(d(F.concat(year, F.lit("-01-01"))), 12)),
-    ]
-    pick = lambda i: F.coalesce(*(F.when(c[0], c[i]) for c in cases))
-    return pick(1), pick(2)
-
-
 @query(f"WITH q AS (SELECT event_id, ts, {_list(_TIMES)}[event_id % {len(_TIMES)} + 1] AS text FROM events) SELECT event_id, CAST(CAST(CASE text {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN CAST({a} AS DATE)' for k, (a, _) in _SPANS.items())} END AS DATE) AS VARCHAR) AS from_day, CAST(CAST(CASE text {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN CAST({b} AS DATE)' for k, (_, b) in _SPANS.items())} END AS DATE) AS VARCHAR) AS to_day FROM q")
 def parse_time_window(spark: SparkSession, d: str) -> DataFrame:
     """The days that a question means, seen from the day of each event."""
     e = table(spark, d, "events")
     text = F.concat(F.lit("What happened "), F.get(F.array(*map(F.lit, _TIMES)), (F.col("event_id") % len(_TIMES)).cast("int")), F.lit("?"))
-    start, end = time_window(text, F.to_date("ts"))
-    return e.select("event_id", F.date_format(start, "yyyy-MM-dd").alias("from_day"), F.date_format(end, "yyyy-MM-dd").alias("to_day"))
+    w = e.select("event_id", time_window(text, F.to_date("ts")).alias("w"))
+    return w.select("event_id", F.date_format("w.start", "yyyy-MM-dd").alias("from_day"), F.date_format("w.end", "yyyy-MM-dd").alias("to_day"))
+
+
+#: More ways to ask, the days that each means as SQL, and whether a strict reading takes it for a question about time.
+_ASKS = {
+    "three days ago": (f"{_DAY} - 3", f"{_DAY} - 2", True), "a week ago": (f"date_trunc('week', {_DAY}) - INTERVAL 7 DAY", f"date_trunc('week', {_DAY})", True),
+    "in the past month": (f"{_DAY} - INTERVAL 1 MONTH", f"{_DAY} + 1", True), "over the last two weeks": (f"{_DAY} - 14", f"{_DAY} + 1", True),
+    "on 2024-02-30": ("NULL", "NULL", True), "on 2024-13-45": ("DATE '2024-01-01'", "DATE '2025-01-01'", True), "part 1999 of the set": ("NULL", "NULL", True),
+    "in may 2023": ("DATE '2023-05-01'", "DATE '2023-06-01'", True), "the rollout may halt": ("NULL", "NULL", True), "on january 5": ("make_date(year(ts), 1, 5)", "make_date(year(ts), 1, 6)", True),
+    "the 3rd of march 2024": ("DATE '2024-03-03'", "DATE '2024-03-04'", True), "in december": ("make_date(CASE WHEN month(ts) = 12 THEN year(ts) ELSE year(ts) - 1 END, 12, 1)", "make_date(CASE WHEN month(ts) = 12 THEN year(ts) ELSE year(ts) - 1 END, 12, 1) + INTERVAL 1 MONTH", True),
+    "Postmortem 2024-01-16 orphans": ("DATE '2024-01-16'", "DATE '2024-01-17'", False), "Q3 2024 roadmap": ("DATE '2024-01-01'", "DATE '2025-01-01'", False),
+    "this week of june 2022": ("DATE '2022-06-01'", "DATE '2022-07-01'", True), "feb 30 2024": ("DATE '2024-02-01'", "DATE '2024-03-01'", False),
+}
+_ASK = "CASE text " + " ".join(f"WHEN '{k}' THEN CAST({v[0]} AS DATE)" for k, v in _ASKS.items()) + " END"
+_ASK_END = "CASE text " + " ".join(f"WHEN '{k}' THEN CAST({v[1]} AS DATE)" for k, v in _ASKS.items()) + " END"
+_MEANT = "text IN (" + ", ".join(f"'{k}'" for k, v in _ASKS.items() if v[2]) + ")"
+
+
+@query(f"WITH q AS (SELECT event_id, ts, {_list(list(_ASKS))}[event_id % {len(_ASKS)} + 1] AS text FROM events), w AS (SELECT event_id, CAST({_ASK} AS VARCHAR) AS a, CAST({_ASK_END} AS VARCHAR) AS b, {_MEANT} AS meant FROM q) SELECT event_id, a AS from_day, b AS to_day, CASE WHEN meant THEN a END AS strict_from, CASE WHEN meant THEN b END AS strict_to FROM w")
+def asked_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The days that more ways of asking mean, wrong dates and names that hold dates among them, read freely and strictly."""
+    asks = F.get(F.array(*map(F.lit, _ASKS)), (F.col("event_id") % len(_ASKS)).cast("int"))
+    e = table(spark, d, "events").select("event_id", asks.alias("text"), F.to_date("ts").alias("day"))
+    w = e.select("event_id", time_window(F.col("text"), F.col("day")).alias("w"), time_window(F.col("text"), F.col("day"), strict=True).alias("s"))
+    shown = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    return w.select("event_id", shown("w.start", "from_day"), shown("w.end", "to_day"), shown("s.start", "strict_from"), shown("s.end", "strict_to"))
 
 
 @query(f"WITH {search.REGISTERED['bm25_topk'][1].removeprefix('WITH ').rsplit(' SELECT query_id, id, score', 1)[0]}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lex QUALIFY rank <= 10) SELECT r.query_id, r.id, rank, source FROM (SELECT r.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth FROM r JOIN mem ON r.id = mem.id) r WHERE nth <= 2")
