@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
+from ..operators import baselines as B
 from ..operators import matching as M
 from ..operators import retrieval as R
 from ..sources.tables import MEMORIES_SQL, NOTES_SQL, memories, notes, table
@@ -281,3 +284,36 @@ def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
     s = s.withColumn("place", F.row_number().over(Window.partitionBy("weight", "query_id").orderBy(F.desc("score"), "id")))
     q = s.groupBy("weight", "query_id").agg(F.coalesce(1 / F.min(F.when(F.col("hit"), F.col("place"))), F.lit(0.0)).alias("rr"), (F.count_if(F.col("hit") & (F.col("place") <= 5)) / 5.0).alias("p"))
     return q.groupBy("weight").agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("p"), 6).alias("precision_at_5"))
+
+
+#: Agents are the brands whose parts a note is about.
+_TURNS = rf"""turn AS (SELECT p_brand AS agent, id, text FROM note JOIN part ON p_partkey = id), tw AS (SELECT agent, id, regexp_extract_all(lower(text), '[a-z'']+') AS ws,
+  list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: len(regexp_extract_all(lower(s), '[a-z'']+'))), lambda k: k > 0) AS sizes FROM turn),
+tm AS (SELECT *, len(ws) AS n_words FROM tw WHERE len(ws) > 0),
+ms AS (SELECT agent, id, round(list_avg(sizes), 2) AS sentence_mean, {_per(S.PET_NAMES, 'pet')}, {_per(S.WE, '"we"')}, {_per(S.YOU, '"you"')}, {_per(S.PRESENT, 'present')} FROM tm),
+mv AS (SELECT agent, id, unnest(['sentence_mean', 'pet', 'we', 'you', 'present']) AS measure, unnest([CAST(round(x * 1000) AS BIGINT) FOR x IN [sentence_mean, pet, "we", "you", present]]) AS value FROM ms),
+st AS (SELECT agent, measure, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {math.log(B._BASE)!r}::DOUBLE) AS INTEGER) ELSE -1 END AS bucket, count(*) AS n, sum(value)::HUGEINT AS total, sum(value::HUGEINT * value)::HUGEINT AS squares FROM mv GROUP BY ALL),
+cu AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY agent, measure) AS turns FROM st WINDOW w AS (PARTITION BY agent, measure ORDER BY bucket)),
+md AS (SELECT agent, measure, min(bucket) FILTER (WHERE upto >= ceil(turns / 2.0)) AS mid, any_value(turns) AS turns, sum(total)::DOUBLE AS total, sum(squares)::DOUBLE AS squares FROM cu GROUP BY agent, measure),
+bl AS (SELECT agent, measure, CAST(turns AS BIGINT) AS turns, round(total / turns / 1000, 6) AS mean, round(CASE WHEN turns > 1 THEN sqrt(greatest(squares - total * total / turns, 0) / (turns - 1)) / 1000 ELSE 0 END, 6) AS spread,
+  round(CASE WHEN mid < 0 THEN 0.0 ELSE pow({B._BASE!r}::DOUBLE, mid) * 2 / ({B._BASE!r}::DOUBLE + 1) / 1000 END, 6) AS median FROM md),
+us AS (SELECT *, CASE WHEN turns < {B.LEAST_TURNS} THEN CASE measure {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in S.USUAL.items())} END WHEN measure = '{B.PACE}' THEN median ELSE greatest(mean, {B.FLOOR}) END AS usual FROM bl)"""
+
+
+def _agents(spark: SparkSession, d: str) -> DataFrame:
+    return notes(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("agent")), "id").select("agent", "id", "text")
+
+
+@query(f"WITH {NOTES_SQL}, {_TURNS} SELECT agent, measure, turns, mean, spread, median, usual FROM us")
+def turn_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """What is usual in the notes of each brand: means, spreads, and medians from a sketch, of two states that were added up."""
+    turns = B.measured(_agents(spark, d))
+    return B.baseline(B.merged(B.state(turns.where("value % 2 = 0")), B.state(turns.where("value % 2 <> 0"))))
+
+
+@query(f"""WITH {NOTES_SQL}, {_TURNS}, ow AS (SELECT agent, {', '.join(f"max(usual) FILTER (WHERE measure = '{k}') AS usual_{k}" for k in S.USUAL)} FROM us GROUP BY agent)
+SELECT agent, id, {' + '.join(f'CAST("{k}" >= usual_{k} * 2.0 AS INTEGER)' for k in S.USUAL if k != B.PACE)} AS raised, {B.PACE} > 0 AND {B.PACE} <= usual_{B.PACE} * 0.65 AS short FROM ms JOIN ow USING (agent)""")
+def raised_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Which notes stand out from their own brand's baseline."""
+    turns = _agents(spark, d)
+    return B.raised(turns, B.baseline(B.state(B.measured(turns))))
