@@ -182,9 +182,11 @@ def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     rows, rows_path = materialise(docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
     keys, _ = materialise(rows.select("k", "t", "s"), "keys")
     sets = rows.groupBy("s").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    sets = _freed(materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix"), "sets")[0], rows_path)
+    sets, sets_path = materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix"), "sets")
+    remove(docs.sparkSession, rows_path)
     sizes, sizes_path = materialise(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    posts = _freed(materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")[0], sizes_path)
+    posts, posts_path = materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")
+    remove(docs.sparkSession, sizes_path)
     small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE)
     links = _verified(_by_simhash(sets), docs, sets, words, threshold)
     comps, _ = materialise(connected_components(links), "components")
@@ -205,9 +207,11 @@ def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
         if work:
             links = links.unionAll(_verified(found, docs, sets, words, threshold))
             comps, _ = materialise(connected_components(links), "components")
-        _freed(sets, path)
+        remove(docs.sparkSession, path)
         if last:
             break
+    for path in (sets_path, posts_path):
+        remove(docs.sparkSession, path)
     return keys.join(comps.withColumnRenamed("node", "s"), "s", "left").select("k", "t", F.coalesce("component", "s").alias("component"))
 
 
