@@ -69,3 +69,28 @@ def test_stage_with_odd_rows(spark):
     rows = [(None, words + " b"), (None, "no copy of anything that is here"), (4, words), (5, "Hello"), (6, "hello"), (7, ""), (8, None), (9, " \n")]
     assert stage(spark, rows) == kept(rows)
     assert stage(spark, []) == []
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_differ():
+    import numpy as np
+
+    from tidemark.llm import near_copies
+
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = (np.unique(r.integers(0, 1 << 62, r.integers(0, 400), dtype=np.uint64)) for _ in range(2))
+        y = np.union1d(r.permutation(x)[: r.integers(0, len(x) + 1)], y[: r.integers(0, len(y) + 1)])
+        bits = int(np.unpackbits((near_copies.sketch(x) ^ near_copies.sketch(y)).view(np.uint8)).sum())
+        assert bits <= len(np.setxor1d(x, y))
+
+
+def test_blocks_and_rounds_lose_no_pair(spark, monkeypatch):
+    from tidemark.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    monkeypatch.setattr(near_copies, "PAIRWISE", 4)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(edited(r, base, r.randrange(4)))) for i in range(40)]
+    rows += [(100 + i, " ".join(base[: 40 + i] + [f"x{i}{j}" for j in range(20 - i)])) for i in range(20)]
+    assert stage(spark, rows) == kept(rows)

@@ -48,3 +48,17 @@ def test_all_stages_in_turn(spark):
     assert set(out["doc_id"]) < known and len(out) > 50
     sums = out.groupby(["shard", "bin"]).agg(held=("n_tokens", "sum"), capacity=("capacity", "first"))
     assert (sums["held"] <= sums["capacity"]).all() and set(sums["capacity"]) <= set(packing.CAPACITIES)
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns that the stages use inside are left behind, and change nothing."""
+    line = "some words of a line that is long enough to matter in a document"
+    texts = [(1, line + "\nmail ada@x.org"), (2, line + "\nmail ada@x.org"), (None, None), (3, "")]
+    docs = docs_of(spark, texts)
+    more = docs.selectExpr("*", "7 as id", "8 as k", "9 as t", "1 as _k", "2 as _t", "3 as component", "4 as h", "'x' as s", "5 as score")
+    for stage in (corpus_pipeline.no_repeated_lines, corpus_pipeline.no_near_duplicates, corpus_pipeline.no_personal_data):
+        got = stage(spark, more, DIR)
+        assert got.columns == COLUMNS and sorted(map(str, got.collect())) == sorted(map(str, stage(spark, docs, DIR).collect()))
+    scored = corpus_pipeline.good_quality(spark, more, DIR)
+    assert scored.columns == COLUMNS
+    assert sorted(map(str, scored.collect())) == sorted(map(str, corpus_pipeline.good_quality(spark, docs, DIR).collect()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SEED, WORDS, THRESHOLD = 42, 5, 0.8
 COMMON, RANKED, REORDERED = 24, 50_000, 2
 #: A bucket up to this size is compared pair by pair; larger ones go through pivots first, for so many rounds at most.
 PAIRWISE, ROUNDS = 24, 5
+#: Bits of a sketch, and members of a bucket that meet in one task.
+SKETCH, BLOCK = 256, 1024
 _ODD = (2 * np.random.default_rng(SEED).integers(1 << 62, size=64, dtype=np.uint64) + 1).astype(np.uint64)
 
 
@@ -62,15 +65,23 @@ def _prefix(x: np.ndarray, threshold: float, common: np.ndarray, rank: np.ndarra
     return x[np.lexsort((x, np.where(common[at] == x, rank[at], 0)))[:keep]]
 
 
-_SETS = "k long, t long, s long, n int, fp long, prefix array<long>"
+def sketch(x: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each of SKETCH bits: sketches of two sets differ in at most as many bits as the sets have shingles that the other lacks."""
+    odd = np.bincount((x >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_BITS = [f"q{i}" for i in range(SKETCH // 64)]
+_SETS = "k long, t long, s long, n int, fp long, prefix array<long>, " + ", ".join(f"{q} long" for q in _BITS)
 
 
 def _prefixes(words: int, threshold: float, common: np.ndarray, rank: np.ndarray):
-    """Of each text: the hash of its set of shingles, their number, their SimHash, and the prefix of the set."""
+    """Of each text: the hash of its set of shingles, their number, their SimHash, the prefix of the set, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(2)]
+            bits = np.array([sketch(x) for x in sets], np.int64).reshape(-1, len(_BITS))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -79,8 +90,9 @@ def _prefixes(words: int, threshold: float, common: np.ndarray, rank: np.ndarray
                     pa.array([len(x) for x in sets], pa.int32()),
                     pa.array([simhash.majority(x) for x in sets], pa.uint64()).view(pa.int64()),
                     pa.array([_prefix(x, threshold, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    *map(pa.array, bits.T),
                 ],
-                names=["k", "t", "s", "n", "fp", "prefix"],
+                names=["k", "t", "s", "n", "fp", "prefix", *_BITS],
             )
 
     return run
@@ -111,14 +123,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, th
     return _freed(materialise(both.select("a", "b", "v", "u").mapInArrow(_similar(words, threshold), "a long, b long"), "links")[0], pairs_path, texts_path)
 
 
-def _alike_long(threshold: float) -> Column:
-    return F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9
+def _alike(threshold: float) -> Column:
+    """What holds for all similar sets: neither is much longer, and their sketches differ in no more bits than the shingles that they may not share."""
+    long = F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(q).bitwiseXOR(F.col(f"r{q}"))) for q in _BITS))
+    return long & (apart <= (F.col("n") + F.col("m")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
 def _pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (a, b), a < b, of (h, s, n, component) on both sides: of one bucket, alike long, not yet connected."""
-    other = right.select("h", F.col("s").alias("r"), F.col("n").alias("m"), F.col("component").alias("of"))
-    met = left.select("h", "s", "n", "component").join(other, "h").where((F.col("component") != F.col("of")) & _alike_long(threshold))
+    """Candidates (a, b), a < b, of (h, size, s, n, component and sketch) on both sides: of one bucket, not yet connected, and alike as far as lengths and sketches tell.
+
+    A bucket is dealt in blocks of about BLOCK members, and each two blocks meet in a task of their own.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("s"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    mine = left.select("h", own.alias("i"), every.alias("j"), "s", "n", "component", *_BITS)
+    other = right.select("h", every.alias("i"), own.alias("j"), F.col("s").alias("r"), F.col("n").alias("m"), F.col("component").alias("of"), *(F.col(q).alias(f"r{q}") for q in _BITS))
+    met = mine.join(other, ["h", "i", "j"]).where((F.col("component") != F.col("of")) & _alike(threshold))
     return met.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b"))
 
 
@@ -168,7 +190,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Classes are the connected components of all pairs of texts whose sets of word shingles have at least that Jaccard
     similarity. Pairs whose SimHashes are linked are verified first. For the others: under any order of shingles two
     such sets share one of the first n - ceil(threshold n) + 1 of each, so these are the buckets; the order puts common
-    shingles last. Buckets over PAIRWISE are linked through pivots first, and then whatever is outside the largest class
+    shingles last. Pairs of a bucket whose lengths or sketches show that they cannot be similar go before anything moves. Buckets over PAIRWISE are linked through pivots first, and then whatever is outside the largest class
     of a bucket meets all others of it that it is not yet connected with: no pair is left out. Every link is verified on
     the whole texts. Texts with equal sets are worked on as one, and so are all texts without words. 64-bit hashes
     stand for shingles and for sets.
@@ -181,11 +203,11 @@ def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     common, rank = _common_last(docs, words, threshold)
     rows, rows_path = materialise(docs.mapInArrow(_prefixes(words, threshold, common, rank), _SETS), "shingles")
     keys, _ = materialise(rows.select("k", "t", "s"), "keys")
-    sets = rows.groupBy("s").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    sets, sets_path = materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix"), "sets")
+    sets = rows.groupBy("s").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), *(F.first(q).alias(q) for q in _BITS))
+    sets, sets_path = materialise(sets.select("s", "at.k", "at.t", "n", "fp", "prefix", *_BITS), "sets")
     remove(docs.sparkSession, rows_path)
     sizes, sizes_path = materialise(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    posts, posts_path = materialise(sets.select("s", "n", F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")
+    posts, posts_path = materialise(sets.select("s", "n", *_BITS, F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")
     remove(docs.sparkSession, sizes_path)
     small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE)
     links = _verified(_by_simhash(sets), docs, sets, words, threshold)
@@ -202,7 +224,8 @@ def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
             found = _pairs(outside, now, threshold)
         else:
             by = F.xxhash64("s", F.lit(i))
-            pivots = now.groupBy("h").agg(F.array(F.min_by(F.struct("s", "n", "component"), by), F.max_by(F.struct("s", "n", "component"), by)).alias("p"))
+            one = F.struct("s", "n", "size", "component", *_BITS)
+            pivots = now.groupBy("h").agg(F.array(F.min_by(one, by), F.max_by(one, by)).alias("p"))
             found = _pairs(pivots.select("h", F.explode("p").alias("p")).select("h", "p.*"), now, threshold)
         if work:
             links = links.unionAll(_verified(found, docs, sets, words, threshold))
