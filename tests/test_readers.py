@@ -39,3 +39,30 @@ def test_chains_end_at_hidden_records_and_do_not_tell_of_them(spark):
     assert got["few", 1, 0] == (1, None, None, None, True) and got["few", 6, 0] == (6, None, None, None, True) and ("few", 2, 0) not in got
     short = {(x["requested"], x["place"]): x["supersedes_id"] for x in readers.histories(records, seen, records, 1).collect() if x["reader"] == "all"}
     assert short[4, -1] is None and short[4, 0] == 3 and (4, -2) not in short
+
+
+def test_components_of_long_chains_stars_and_cycles(spark):
+    import random
+
+    r = random.Random(8)
+    names = r.sample(range(10_000), 260)
+    chain = list(zip(names[:120], names[1:121], strict=False))
+    star = [(names[130], x) for x in names[131:180]]
+    ring = [(names[180 + i], names[180 + (i + 1) % 30]) for i in range(30)]
+    loose = [(names[215], names[216]), (names[216], names[215]), (names[217], names[217])]
+    edges = chain + star + ring + loose
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = {x["id"]: x["component"] for x in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).collect() == []

@@ -80,3 +80,20 @@ def test_spelling_like_brute_force(spark):
     for n, t in texts:
         assert got[n]["text"] == (t if t is None else _brute(t, set(words))), t
     assert sum(x["n_fixed"] for x in got.values()) > 50
+
+
+def test_every_word_within_its_edits_shares_a_key():
+    import random
+
+    r = random.Random(4)
+    for _ in range(4000):
+        word = "".join(r.choice("abcé") for _ in range(r.randrange(4, 14)))
+        near = list(word)
+        for _ in range(P.edits_of(len(word))):
+            at, kind = r.randrange(len(near) + 1), r.randrange(3)
+            if kind == 0:
+                near.insert(at, r.choice("abcé"))
+            elif at < len(near):
+                near[at : at + 1] = [r.choice("abcé")] * (kind - 1)
+        if len(near) >= P.LEAST_LENGTH - 1:
+            assert P.looked_for(word) & P.found_under("".join(near)), (word, near)

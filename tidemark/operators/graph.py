@@ -113,3 +113,23 @@ def within(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
         if bit <= most:
             jump = cut(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("after")), "next").select("key", F.col("after").alias("next")))
     return placed
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least node that each node of undirected edges (src, dst) is connected with.
+
+    Each round a node takes the least label of its neighbours, and then the label of its label, so labels travel in leaps and
+    the rounds grow with the logarithm of the longest way. Each is written; it ends when no label moves.
+    """
+    both = cut(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    at = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("component"), F.lit(True).alias("moved")))
+    for _ in range(ROUNDS * 2):
+        named = at.select("id", "component")
+        near = both.join(named.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
+        low = named.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
+        # whoever gave a node its label may know a lower one by now
+        above = low.select(F.col("id").alias("low"), F.col("low").alias("above"))
+        at = cut(low.join(above, "low", "left").select("id", F.least("low", "above").alias("now"), "component").select("id", F.col("now").alias("component"), (F.col("now") < F.col("component")).alias("moved")))
+        if at.where("moved").isEmpty():
+            return at.select("id", "component")
+    raise ValueError("components did not settle")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -123,16 +125,38 @@ def _open(bare: Column, protected: list[str]) -> Column:
     return out & ~F.lower(bare).isin(*protected) if protected else out
 
 
-def _shorter(word: Column) -> Column:
-    """The word with each of its letters left out."""
-    return F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word))))
+def edits_of(length: int) -> int:
+    """The edits that a word of a length may have."""
+    return EDITS_SHORT if length <= SHORT else EDITS
 
 
-def _keys(words: DataFrame, name: str) -> DataFrame:
-    """(name, key): the word and what is left of it without one letter, or without two where four stay."""
-    two = F.filter(F.flatten(F.transform(F.col("one"), _shorter)), lambda k: F.char_length(k) >= LEAST_LENGTH)
-    w = words.where(F.char_length("word") >= LEAST_LENGTH - 1).withColumn("one", _shorter(F.col("word")))
-    return w.select(F.col("word").alias(name), F.explode(F.array_distinct(F.concat(F.array("word"), F.col("one"), two))).alias("key"))
+def cuts(length: int, parts: int) -> list[tuple[int, int]]:
+    """(start, end) of a word's parts, all but as long as each other."""
+    at = [length * i // parts for i in range(parts + 1)]
+    return list(zip(at, at[1:], strict=False))
+
+
+def looked_for(word: str) -> set[str]:
+    """Keys under which a word looks for others: wherever a part of a word that is so many edits away could lie in it."""
+    n, k = len(word), edits_of(len(word))
+    return {f"{k}:{m}:{i}:{word[s : s + end - start]}" for m in range(n - k, n + k + 1) for i, (start, end) in enumerate(cuts(m, k + 1)) for s in range(max(0, start - k), min(start + k, n - (end - start)) + 1)}
+
+
+def found_under(word: str) -> set[str]:
+    """Keys under which a dictionary's word is found: of its parts, one more than there may be edits, one is left whole."""
+    n = len(word)
+    return {f"{k}:{n}:{i}:{word[start:end]}" for k in {EDITS_SHORT, EDITS} for i, (start, end) in enumerate(cuts(n, k + 1)) if start < end}
+
+
+def _keys(words: DataFrame, name: str, keys: Callable[[str], set[str]]) -> DataFrame:
+    """(name, key) of words (word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [(w, k) for w in b.column(0).to_pylist() for k in keys(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in each], pa.string()), pa.array([k for _, k in each], pa.string())], names=[name, "key"])
+
+    return words.where(F.char_length("word") >= LEAST_LENGTH - 1).select("word").mapInArrow(run, f"{name} string, key string")
 
 
 @F.pandas_udf(DoubleType())
@@ -143,17 +167,17 @@ def likeness(near: pd.Series, word: pd.Series) -> pd.Series:
 def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, fixed) of distinct lower-case words that are frequent misspellings or have one nearest word in a dictionary (word).
 
-    Words within two edits share what is left of both without two letters at most; that is what they are joined on. Of
-    the two likest the first is taken, unless the second needs no more edits. Words farther away are never looked at.
+    Of the parts of a word, one more than the edits that are allowed, one lies whole in any word that is so near, moved by
+    no more places than there are edits; lengths, parts and places are what words are joined on. Of the two likest the first is taken, unless the second needs no more edits. Words farther away are never looked at.
     """
     table = F.create_map(*(F.lit(x) for pair in TYPOS.items() for x in pair))
     known = words.select("word", F.try_element_at(table, F.col("word")).alias("fixed"))
     dictionary = dictionary.select("word").distinct()
     odd = known.where(F.col("fixed").isNull() & (F.char_length("word") >= LEAST_LENGTH)).select("word").join(dictionary, "word", "left_anti")
-    pairs = _keys(odd, "word").join(_keys(dictionary, "near"), "key").select("word", "near").distinct()
     far = F.levenshtein("word", "near")
-    pairs = pairs.withColumn("edits", far).where(F.col("edits") <= F.when(F.char_length("word") <= SHORT, EDITS_SHORT).otherwise(EDITS))
-    pairs = pairs.withColumn("like", likeness("near", "word")).where(F.col("like") >= LIKENESS)
+    met = _keys(odd, "word", looked_for).join(_keys(dictionary, "near", found_under), "key")
+    near = met.where(far <= F.when(F.char_length("word") <= SHORT, EDITS_SHORT).otherwise(EDITS))
+    pairs = near.select("word", "near").distinct().withColumn("edits", far).withColumn("like", likeness("near", "word")).where(F.col("like") >= LIKENESS)
     w = Window.partitionBy("word").orderBy(F.desc("like"), F.desc("near"))
     first = pairs.withColumn("nth", F.row_number().over(w)).withColumn("next", F.lead("edits").over(w)).where("nth = 1 and (next is null or next > edits)")
     return known.where("fixed is not null").unionAll(first.select("word", F.col("near").alias("fixed")))
