@@ -98,9 +98,12 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, component): the least node reachable, for each node of an undirected graph of long nodes.
 
+    After a number of rounds, where one is given, component is the least node that has been found so far: one that is
+    reachable, but not always the least.
+
     Alternates large-star and small-star contraction until the edges stay as they are. Every round is two joins on the
     node and is written to the shared folder, so neither lineage nor driver memory grows with the graph. A hub's rows
     are joined, never collected, so a skewed join can be split. Rounds go on until nothing changes; their number grows
@@ -111,7 +114,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = e.where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, path = materialise(e, "edges")
-    before = None
+    before, done = None, 0
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -120,12 +123,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         nxt, nxt_path = materialise(small.where("u <> v").distinct(), "edges")
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         remove(spark, path)
-        e, path = nxt, nxt_path
+        e, path, done = nxt, nxt_path, done + 1
+        if done == rounds:
+            e = e.groupBy("u").agg(F.min("v").alias("v"))
+            break
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    roots = e.select(F.col("v").alias("node")).distinct()
+    if rounds is not None:  # a node that others point to may itself point on
+        roots = roots.join(e.select(F.col("u").alias("node")), "node", "left_anti")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

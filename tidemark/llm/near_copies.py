@@ -24,7 +24,9 @@ SEED, WORDS, THRESHOLD = 42, 5, 0.8
 #: A shingle in more prefixes than this is put at the end of the order; so many of these are told apart by their counts, in so many rounds.
 COMMON, RANKED, REORDERED = 24, 50_000, 2
 #: A bucket up to this size is compared pair by pair; larger ones go through pivots first, for so many rounds at most.
-PAIRWISE, ROUNDS = 24, 5
+PAIRWISE, ROUNDS = 24, 3
+#: Rounds of contraction between two rounds of pivots, which need only labels that are connected; the last labels are worked out in full.
+BETWEEN = 2
 #: Bits of a sketch, and members of a bucket that meet in one task.
 SKETCH, BLOCK = 256, 1024
 _ODD = (2 * np.random.default_rng(SEED).integers(1 << 62, size=64, dtype=np.uint64) + 1).astype(np.uint64)
@@ -188,7 +190,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(k, t, component): for each row its key of identified(), and its class.
 
     Classes are the connected components of all pairs of texts whose sets of word shingles have at least that Jaccard
-    similarity. Pairs whose SimHashes are linked are verified first. For the others: under any order of shingles two
+    similarity. Pairs whose SimHashes are linked are verified. For the others: under any order of shingles two
     such sets share one of the first n - ceil(threshold n) + 1 of each, so these are the buckets; the order puts common
     shingles last. Pairs of a bucket whose lengths or sketches show that they cannot be similar go before anything moves. Buckets over PAIRWISE are linked through pivots first, and then whatever is outside the largest class
     of a bucket meets all others of it that it is not yet connected with: no pair is left out. Every link is verified on
@@ -210,12 +212,11 @@ def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     posts, posts_path = materialise(sets.select("s", "n", *_BITS, F.explode("prefix").alias("h")).join(sizes, "h"), "buckets")
     remove(docs.sparkSession, sizes_path)
     small, large = posts.where(F.col("size") <= PAIRWISE), posts.where(F.col("size") > PAIRWISE)
-    links = _verified(_by_simhash(sets), docs, sets, words, threshold)
-    comps, _ = materialise(connected_components(links), "components")
-    small, small_path = materialise(_in_components(small, comps), "buckets")
-    links = links.unionAll(_verified(_pairs(small, small, threshold), docs, sets, words, threshold))
-    comps = _freed(materialise(connected_components(links), "components")[0], small_path)
-    for i in range(ROUNDS + 1 if large.head(1) else 0):
+    alone = small.withColumn("component", F.col("s"))
+    links = _verified(_by_simhash(sets).unionAll(_pairs(alone, alone, threshold)), docs, sets, words, threshold)
+    more = bool(large.head(1))
+    for i in range(ROUNDS + 1 if more else 0):
+        comps, _ = materialise(connected_components(links, rounds=BETWEEN), "components")
         now, path = materialise(_in_components(large, comps), "buckets")
         major = now.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
         outside = now.join(major, "h").where("component <> major").drop("major")
@@ -229,10 +230,10 @@ def _classes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
             found = _pairs(pivots.select("h", F.explode("p").alias("p")).select("h", "p.*"), now, threshold)
         if work:
             links = links.unionAll(_verified(found, docs, sets, words, threshold))
-            comps, _ = materialise(connected_components(links), "components")
         remove(docs.sparkSession, path)
         if last:
             break
+    comps, _ = materialise(connected_components(links), "components")
     for path in (sets_path, posts_path):
         remove(docs.sparkSession, path)
     return keys.join(comps.withColumnRenamed("node", "s"), "s", "left").select("k", "t", F.coalesce("component", "s").alias("component"))
