@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import valid_at
-from ..sources.tables import cut
+from ..sources.tables import cut, written
 
 #: Doublings after which a chain must be a cycle: no table has 2**48 rows.
 ROUNDS = 48
@@ -55,7 +55,7 @@ def chains(rows: DataFrame, parent: str) -> DataFrame:
     at = rows.select("id", F.coalesce(parent, "id").alias("root"), F.col(parent).isNotNull().cast("long").alias("steps"))
     for _ in range(ROUNDS):
         above = at.select(F.col("id").alias("at"), F.col("root").alias("above"), F.col("steps").alias("more"))
-        at = cut(at.join(above, F.col("root") == F.col("at"), "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
+        at = written(at.join(above, F.col("root") == F.col("at"), "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("id", "root", "steps")
     raise ValueError("a chain of parents leads back to itself")
@@ -103,15 +103,15 @@ def within(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     Jumps of 1, 2, 4, ... steps are made by joining each with itself; the places from 0 to `most` are made from them bit by
     bit. So joins grow with the logarithm of `most`, and with no chain's length; a chain that runs in a circle is walked on.
     """
-    jump = cut(links.select("key", "next"))
+    jump = written(links.select("key", "next"))
     placed = starts.select(F.col("key").alias("start"), "key", F.lit(0).alias("steps"))
     bit = 1
     while bit <= most:
         on = placed.join(jump, "key").select("start", F.col("next").alias("key"), (F.col("steps") + bit).alias("steps")).where(F.col("steps") <= most)
-        placed = cut(placed.unionAll(on))
+        placed = written(placed.unionAll(on))
         bit *= 2
         if bit <= most:
-            jump = cut(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("after")), "next").select("key", F.col("after").alias("next")))
+            jump = written(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("after")), "next").select("key", F.col("after").alias("next")))
     return placed
 
 
@@ -121,15 +121,15 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a node takes the least label of its neighbours, and then the label of its label, so labels travel in leaps and
     the rounds grow with the logarithm of the longest way. Each is written; it ends when no label moves.
     """
-    both = cut(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    at = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("component"), F.lit(True).alias("moved")))
+    both = written(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    at = written(both.groupBy(F.col("src").alias("id")).agg(F.least(F.first("src"), F.min("dst")).alias("component"), F.lit(True).alias("moved")))
     for _ in range(ROUNDS * 2):
         named = at.select("id", "component")
         near = both.join(named.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         low = named.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
         # whoever gave a node its label may know a lower one by now
         above = low.select(F.col("id").alias("low"), F.col("low").alias("above"))
-        at = cut(low.join(above, "low", "left").select("id", F.least("low", "above").alias("now"), "component").select("id", F.col("now").alias("component"), (F.col("now") < F.col("component")).alias("moved")))
+        at = written(low.join(above, "low", "left").select("id", F.least("low", "above").alias("now"), "component").select("id", F.col("now").alias("component"), (F.col("now") < F.col("component")).alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("id", "component")
     raise ValueError("components did not settle")

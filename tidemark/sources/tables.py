@@ -35,6 +35,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, for rounds of a loop.
+
+    A checkpoint keeps the size that its plan was guessed to have, which joins multiply; after some rounds the guesses are
+    numbers of a million digits. A table has the size of its files.
+    """
+    path = new_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of an agent's memory, one for each document; every derived column is a function of doc_id."""
     i = F.col("doc_id")
