@@ -43,8 +43,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TABLE}, {_HITS} SELECT id, concept, count(*) AS hits, count(DISTINCT words) AS lengths, CAST(min(place) AS INTEGER) AS first FROM hit GROUP BY id, concept")
 def concepts_in_texts(spark: SparkSession, d: str) -> DataFrame:
     """The concepts of each whole text, by every phrase in it."""
-    found = C.occurrences(_texts(spark, d), _table(spark, d))
-    return found.groupBy("id", "concept").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("words").alias("lengths"), F.min("place").alias("first"))
+    return C.counted(_texts(spark, d), _table(spark, d)).select("id", "concept", "hits", "lengths", "first")
 
 
 @query(f"""WITH RECURSIVE {_TABLE}, {_HITS}, best AS (SELECT id, place, max(words) AS words FROM hit GROUP BY id, place),
@@ -54,8 +53,7 @@ kept AS (SELECT * FROM w WHERE place >= 0)
 SELECT id, concept, count(*) AS hits, CAST(sum(h.words) AS BIGINT) AS words FROM hit h JOIN kept k USING (id, place, words) GROUP BY id, concept""")
 def longest_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The concepts of each whole text, by the longest phrases that do not overlap."""
-    found = C.occurrences(_texts(spark, d), _table(spark, d), longest=True)
-    return found.groupBy("id", "concept").agg(F.count(F.lit(1)).alias("hits"), F.sum("words").alias("words"))
+    return C.counted(_texts(spark, d), _table(spark, d), longest=True).select("id", "concept", "hits", "words")
 
 
 #: Labels are names of parts, weighted by their price in an order; concepts are what a name's words say.
