@@ -75,16 +75,18 @@ def probes(questions: DataFrame) -> DataFrame:
 def probe_hits(asked: DataFrame, items: DataFrame, hits: int = HITS) -> DataFrame:
     """(query_id, id, weight, kinds): rows that hold something (id, kind, value) in which a probe (query_id, kind, probe) occurs as a run of words.
 
-    Distinct probes meet distinct values of their kind in an index of positions, and a probe keeps its first `hits` rows
-    before it goes back to the questions that share it; so a value that a third of all rows hold is cut to a bound before any
-    question is joined. A row found by several kinds has the highest weight, and lists all.
+    Distinct probes meet distinct values of their kind, and a probe keeps its first `hits` rows before it goes back to the
+    questions that share it. They are among the first `hits` rows of each value, so a value that a third of all rows hold is
+    cut to a bound before it is joined with probes. A row found by several kinds has the highest weight, and lists all.
     """
     values = items.select("kind", "value").distinct().withColumn("id", F.xxhash64("kind", "value"))
     docs = values.select("id", F.col("kind").alias("field"), _words(F.col("value")).alias("words"))
     want = asked.select("kind", "probe").distinct().withColumn("phrase", _words(F.col("probe"))).where(F.size("phrase") > 0)
-    met = want.join(P.phrase_hits(docs, want.select("phrase")).select("phrase", F.col("field").alias("kind"), F.col("id").alias("vid")).distinct(), ["phrase", "kind"])
-    named = met.join(values.select(F.col("id").alias("vid"), "value"), "vid")
-    rows = named.join(items, ["kind", "value"]).select("kind", "probe", "id").distinct()
+    met = want.join(P.phrase_counts(docs, want.select("phrase")).select("phrase", F.col("field").alias("kind"), F.col("id").alias("vid")), ["phrase", "kind"]).select("kind", "probe", "vid")
+    # the first rows of a probe are among the first rows of each value that it meets
+    place = F.row_number().over(Window.partitionBy("kind", "vid").orderBy("id"))
+    held = items.select("kind", F.xxhash64("kind", "value").alias("vid"), "id").distinct().withColumn("nth", place).where(F.col("nth") <= hits).drop("nth")
+    rows = met.join(held, ["kind", "vid"]).select("kind", "probe", "id").distinct()
     nth = F.row_number().over(Window.partitionBy("kind", "probe").orderBy("id"))
     first = cut(rows.withColumn("nth", nth).where(F.col("nth") <= hits).select("kind", "probe", "id"))
     weight = F.element_at(F.create_map(*(F.lit(x) for p in WEIGHTS.items() for x in p)), F.col("kind"))
@@ -106,10 +108,14 @@ w AS (SELECT DISTINCT kind, probe, ' ' || array_to_string({_WORDS_SQL.format('pr
 h AS (SELECT kind, probe, id FROM (SELECT DISTINCT w.kind, w.probe, v.id FROM w JOIN v ON v.kind = w.kind AND contains(v.s, w.s) WHERE w.s <> '  ') QUALIFY row_number() OVER (PARTITION BY kind, probe ORDER BY id) <= {HITS})
 SELECT query_id, id, CAST(max(CASE kind {' '.join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items())} END) AS INTEGER) AS weight, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM asked JOIN h USING (kind, probe) GROUP BY query_id, id""")
 def structured_probes(spark: SparkSession, d: str) -> DataFrame:
-    """Notes found by the citations, sections, claims and names of every seventh note."""
+    """Notes found by the citations, sections, claims and names of every seventh note. Questions of one text are looked up once."""
     n = cut(notes(spark, d).select("id", "text"))
     items = n.select("id", F.inline(found(F.col("text")))).distinct()
-    return probe_hits(probes(n.where("id % 7 = 0").select(F.col("id").alias("query_id"), "text")), items)
+    questions = n.where("id % 7 = 0").select(F.col("id").alias("asked_by"), "text")
+    once = cut(questions.groupBy("text").agg(F.min("asked_by").alias("query_id")))
+    answers = cut(probe_hits(probes(once), items))
+    same = questions.join(once, "text").select("query_id", "asked_by")
+    return same.join(answers, "query_id").select(F.col("asked_by").alias("query_id"), "id", "weight", "kinds")
 
 
 #: Of each profile: how many of each kind are kept, the fewest that its own rule must leave before others fill up, and markers of what the rule keeps. Fixed values.
