@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+from .retrieval import small
+
 #: Weights of coverage and overlap, the least score, how many anchors a moment gets, and the weight of an unweighted emotion. Fixed values.
 COVERAGE, OVERLAP, LEAST, TOP, UNWEIGHTED = 0.7, 0.3, 0.3, 3, 0.7
 #: Points for a word of a skill's name, a part of one, a word of its description and its repeats; the squash of its record. Fixed values.
@@ -19,13 +22,14 @@ def anchors(moments: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id, anchor, score, rank): the anchors whose emotions are most like a moment's, both given as rows (id or anchor, emotion, weight).
 
     Only pairs that share an emotion meet. The sum of the greater weights of two shapes is that of all weights less the
-    lesser ones, so nothing but the shared rows is needed. Moments without emotions get no row.
+    lesser ones, so nothing but the shared rows is needed. Moments are dealt by id once; while the anchors are few enough to be
+    sent to every task, the pairs are made, summed and ranked there. Moments without emotions get no row.
     """
     a = anchors.select("anchor", "emotion", F.coalesce(F.col("weight"), F.lit(UNWEIGHTED)).cast("double").alias("w"))
     a = a.join(a.groupBy("anchor").agg(F.sum("w").alias("w_all")), "anchor")
-    m = moments.select("id", "emotion", F.coalesce(F.col("weight"), F.lit(0.0)).cast("double").alias("f"))
-    m = m.join(m.groupBy("id").agg(F.sum("f").alias("f_all")), "id")
-    low = m.join(a, "emotion").groupBy("id", "anchor", "w_all", "f_all").agg(F.sum(F.least("w", "f")).alias("low"))
+    m = moments.select("id", "emotion", F.coalesce(F.col("weight"), F.lit(0.0)).cast("double").alias("f")).repartition("id")
+    m = m.withColumn("f_all", F.sum("f").over(Window.partitionBy("id")))
+    low = m.join(small(cut(a), 120), "emotion").groupBy("id", "anchor", "w_all", "f_all").agg(F.sum(F.least("w", "f")).alias("low"))
     share = lambda x: F.coalesce(F.col("low") / F.nullif(x, F.lit(0.0)), F.lit(0.0))
     score = F.round(COVERAGE * share(F.col("w_all")) + OVERLAP * share(F.col("w_all") + F.col("f_all") - F.col("low")), 6)
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "anchor"))
