@@ -73,3 +73,10 @@ def test_running_results_of_words_are_those_of_all_pairs(spark, monkeypatch):
                 rows.append((not terms <= set(w), -round(s, 6), i))
         assert [got[q, n] for n in range(1, 6)] == [(i, -s, not part) for part, s, i in sorted(rows)[:5]]
     assert (4, 1) not in got and found.count() <= 3 * 5 * 3
+
+
+def test_no_round_of_chains_goes_through_the_driver(spark):
+    from tidemark.plans import records
+
+    for made in (records.supersession_history, records.open_head):
+        assert "Broadcast" not in made(spark, DIR)._jdf.queryExecution().executedPlan().toString()

@@ -50,12 +50,13 @@ def chains(rows: DataFrame, parent: str) -> DataFrame:
 
     Pointers are doubled: a round replaces each row's ancestor by that one's ancestor, so the rounds grow with the
     logarithm of the longest chain, and end when nothing moves. Each is written to the checkpoint folder. A parent
-    that is no row ends the chain. Rows of a cycle have no root, and an error says so.
+    that is no row ends the chain. Rows of a cycle have no root, and an error says so. Rounds are joined by shuffles: files
+    of numbers in order are so small that Spark would send a whole round through the driver.
     """
     at = rows.select("id", F.coalesce(parent, "id").alias("root"), F.col(parent).isNotNull().cast("long").alias("steps"))
     for _ in range(ROUNDS):
         above = at.select(F.col("id").alias("at"), F.col("root").alias("above"), F.col("steps").alias("more"))
-        at = written(at.join(above, F.col("root") == F.col("at"), "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
+        at = written(at.join(above.hint("shuffle_merge"), F.col("root") == F.col("at"), "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("id", "root", "steps")
     raise ValueError("a chain of parents leads back to itself")

@@ -125,8 +125,8 @@ def supersession_history(spark: SparkSession, d: str) -> DataFrame:
     """The oldest record that each supersedes and the newest that supersedes it, over chains of any length."""
     m = memories(spark, d).select("id", "supersedes_id")
     next_ = m.where("supersedes_id is not null").groupBy(F.col("supersedes_id").alias("id")).agg(F.max("id").alias("below"))
-    up, down = G.chains(m, "supersedes_id"), G.chains(m.join(next_, "id", "left").select("id", "below"), "below")
-    return up.join(down.select("id", F.col("root").alias("head"), F.col("steps").alias("later")), "id")
+    up, down = G.chains(m, "supersedes_id"), G.chains(m.join(next_.hint("shuffle_merge"), "id", "left").select("id", "below"), "below")
+    return up.join(down.select("id", F.col("root").alias("head"), F.col("steps").alias("later")).hint("shuffle_merge"), "id")
 
 
 @query(f"WITH RECURSIVE {MEMORIES_SQL}, link AS (SELECT m.id, n.id AS below FROM mem m LEFT JOIN mem n ON n.supersedes_id = m.id), {_walk_sql('below', 'down')} SELECT id, root AS head FROM down JOIN mem h ON h.id = down.root WHERE (h.valid_to IS NULL OR h.valid_to > TIMESTAMP '{_NOW}')".replace("SELECT id, root", "SELECT down.id, root"))
@@ -135,7 +135,7 @@ def open_head(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d)
     head = supersession_history(spark, d).select("id", "head")
     open_ = m.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(_NOW).cast("timestamp"))).select(F.col("id").alias("head"))
-    return head.join(open_, "head", "left_semi").select("id", "head")
+    return head.join(open_.hint("shuffle_merge"), "head", "left_semi").select("id", "head")
 
 
 @query(f"WITH {MEMORIES_SQL} SELECT id FROM mem WHERE id NOT IN (SELECT supersedes_id FROM mem WHERE supersedes_id IS NOT NULL) AND (valid_to IS NULL OR valid_to > TIMESTAMP '{_NOW}')")
