@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import brute_force
 from pyspark.sql import functions as F
@@ -188,6 +189,20 @@ def test_suffixes_with_a_hot_string(spark, length):
     assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got} == brute_force([(i, t.encode()) for i, t in rows], length)
 
 
+def test_neighbours_of_a_repeated_run_are_dealt_together():
+    r = random.Random(12)
+    text = words(r, 60).encode()[:300]
+    batches, found = [], [np.array([[150, 80, 0]])]  # (x, lo, hi) of an anchor: 81 windows
+    for k in (1, 2):  # two batches, which hold one copy each
+        items = suffix_dedup._settled_windows(suffix_dedup.windows([text], np.array([[k, 0]]), found, 100, 20))
+        batches += list(suffix_dedup._deal(items, 1000, "shared"))
+    rows = sorted((bucket, items) for b in batches for bucket, items in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    b = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "items"])
+    out = [x for got in suffix_dedup._refine_windows(100)(iter([b])) for x in got.to_pylist()]
+    assert len(out) <= 9 and {x["k"] for x in out} == {2}
+    assert sorted(p for x in out for p in range(x["x"], x["x"] - x["hi"] + 1)) == list(range(70, 151))
+
+
 def test_rows_that_share_an_identifier_keep_their_own_text(spark):
     r = random.Random(2)
     shared, unlike = words(r, 80), [words(r, 80) for _ in range(4)]

@@ -203,10 +203,15 @@ def middles(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], lengt
 
 
 def windows(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], length: int, q: int) -> np.ndarray:
-    """An item for each window of what is still open; x is where it starts."""
-    out, d = [_new(0)], depth(length, q)
+    """An item for each window of what is still open; x is where it starts.
+
+    lo and hi are halves of a hash of what it shares with its neighbours: of windows of one anchor, q // 2 in a row are
+    dealt by the bytes that lie in all of them, so equal windows meet, and a run is found in pieces and not one by one.
+    """
+    out, d, step = [_new(0)], depth(length, q), q // 2
     for row, piece, some, at in _near(texts, keys, found, length):
-        grams = _Hashes(piece).every(q)
+        h = _Hashes(piece)
+        grams = h.every(q)
         names = _covering(_deeper(grams, q, d), d, length)
         i, j = _each(some[:, 1] - some[:, 2] + 1)
         back, x = some[i, 1] - j, some[i, 0] - at
@@ -214,6 +219,9 @@ def windows(texts: list[bytes], keys: np.ndarray, found: list[np.ndarray], lengt
         item["q"], item["c"] = grams[x], names[x - back] + back.astype(U)
         item["k"], item["t"] = keys[row]
         item["x"], item["kind"] = x - back + at, _OPEN
+        core = x - back // step * step
+        shared = h.of(core, core + length - step + 1)
+        item["lo"], item["hi"] = shared >> U(48), shared >> U(32) & U(0xFFFF)
         out.append(item)
     return np.concatenate(out)
 
@@ -296,9 +304,12 @@ def _unpacked(data: memoryview) -> np.ndarray:
 
 
 def _deal(items: np.ndarray, buckets: int, by: str) -> Iterator[pa.RecordBatch]:
-    """Items to their buckets: by the q-gram, or by the whole name; those that need none, to any, by row."""
+    """Items to their buckets: by the q-gram, by the whole name, or by what neighbours share; those that need none, to any, by row."""
     alone = (items["kind"] == _REPEAT) | (by != "q") & (items["kind"] == _KNOWN)
     named = _joined(items["q"], items["c"])
+    if by == "shared":
+        named = _mix((items["lo"].astype(U) << U(16)) + items["hi"] + U(1))
+        items["lo"], items["hi"] = 0, 0  # for dealing alone
     to = np.where(alone, _mix(items["k"].view(U) ^ items["t"].view(U)), np.where((by != "q") | (items["kind"] == _KNOWN), named, items["q"])) >> U(20)
     to = (to % U(buckets)).astype(np.int32)
     items["q"][alone], items["c"][alone] = 0, 0  # not asked for again, and nothing to move
@@ -422,7 +433,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     first = dealt(texts, lambda t, k, _: _settled_anchors(anchors(t, k, length, q)), "q").mapInArrow(_refine_anchors, _FOUND)
     middle = dealt(beside(first.where(F.col("kind") == _OPEN)), lambda t, k, b: _settled_middles(middles(t, k, _triples(b.column(3)), length, q)), "name").mapInArrow(_refine_middles, _FOUND)
-    last = dealt(beside(middle), lambda t, k, b: _settled_windows(windows(t, k, _triples(b.column(3)), length, q)), "name").mapInArrow(_refine_windows(length), _FOUND)
+    last = dealt(beside(middle), lambda t, k, b: _settled_windows(windows(t, k, _triples(b.column(3)), length, q)), "shared").mapInArrow(_refine_windows(length), _FOUND)
     return beside(first.where(F.col("kind") == _REPEAT).unionAll(last), "left")
 
 
