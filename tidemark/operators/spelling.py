@@ -174,9 +174,9 @@ def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     known = words.select("word", F.try_element_at(table, F.col("word")).alias("fixed"))
     dictionary = dictionary.select("word").distinct()
     odd = known.where(F.col("fixed").isNull() & (F.char_length("word") >= LEAST_LENGTH)).select("word").join(dictionary, "word", "left_anti")
-    far = F.levenshtein("word", "near")
+    far = F.levenshtein("word", "near", EDITS)  # -1 beyond
     met = _keys(odd, "word", looked_for).join(_keys(dictionary, "near", found_under), "key")
-    near = met.where(far <= F.when(F.char_length("word") <= SHORT, EDITS_SHORT).otherwise(EDITS))
+    near = met.where((far >= 0) & (far <= F.when(F.char_length("word") <= SHORT, EDITS_SHORT).otherwise(EDITS)))
     pairs = near.select("word", "near").distinct().withColumn("edits", far).withColumn("like", likeness("near", "word")).where(F.col("like") >= LIKENESS)
     w = Window.partitionBy("word").orderBy(F.desc("like"), F.desc("near"))
     first = pairs.withColumn("nth", F.row_number().over(w)).withColumn("next", F.lead("edits").over(w)).where("nth = 1 and (next is null or next > edits)")
