@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.tables import cut
+
 #: Frequent misspellings and the words meant. Fixed values.
 TYPOS = {
     "teh": "the",
@@ -159,6 +163,75 @@ def _keys(words: DataFrame, name: str, keys: Callable[[str], set[str]]) -> DataF
     return words.where(F.char_length("word") >= LEAST_LENGTH - 1).select("word").mapInArrow(run, f"{name} string, key string")
 
 
+#: The longest words that are compared by the letters they share; words of a block, of those that are met at once, and of a dictionary that is sent to every task at most. Fixed values.
+LONGEST, WORDS, MET, SENT = 24, 1 << 16, 1 << 10, 1 << 17
+
+
+def shared(length: int, near: int) -> int:
+    """The fewest letters, in their order, that a word and a dictionary's word of such lengths share if they are within the edits and as like as they must be."""
+    m = max(length, near) - edits_of(length)
+    while 2.0 * m / (length + near) < LIKENESS:
+        m += 1
+    return m
+
+
+def _kept(letters: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of all that is left of words of one length (letters, a row each) with n of their letters."""
+    ways = list(combinations(range(letters.shape[1]), n))
+    out = np.zeros((len(ways), len(letters)), np.uint64)
+    for h, way in zip(out, ways, strict=True):
+        for i in way:
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += letters[:, i]
+    return out.ravel(), np.tile(np.arange(len(letters)), len(ways))
+
+
+def _letters(words: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).astype(np.uint64) + np.uint64(1)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, near) of blocks of words and of a dictionary's (length, words, other, nears), each of one length."""
+    for b in batches:
+        for length, words, other, nears in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n = shared(length, other)
+            if n > min(length, other):
+                continue
+            theirs = _letters(nears, other)
+            mine = _letters(words, length)
+            for at in range(0, len(nears), WORDS >> 2):
+                key, row = _kept(theirs[at : at + (WORDS >> 2)], n)
+                o = np.argsort(key)
+                key, row = key[o], row[o] + at
+                for i in range(0, len(words), MET):
+                    own, who = _kept(mine[i : i + MET], n)
+                    first, last = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+                    many = last - first
+                    pair = np.repeat(who, many) * len(nears) + row[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                    pair = np.unique(pair)
+                    found = [[words[i + k] for k in (pair // len(nears)).tolist()], [nears[k] for k in (pair % len(nears)).tolist()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["word", "near"])
+
+
+def _short(odd: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, near) of words of up to LONGEST letters that share enough letters in their order; some more by chance.
+
+    Words are dealt into blocks of one length and meet the blocks of the dictionary whose lengths come near. What is left
+    of a word without the letters it may lose is made in the task, so no key of a word is moved. A large dictionary is
+    shuffled, once for each part of the words.
+    """
+    length, (n, m) = F.char_length("word"), (max(1, -(-x.count() // WORDS)) for x in (odd, dictionary))
+    dealt = lambda words, parts: words.groupBy(length.alias("length"), F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("word").alias("words"))
+    theirs = dealt(dictionary.where(length <= LONGEST + EDITS), m).select(F.col("length").alias("other"), F.col("words").alias("nears"))
+    theirs = theirs.withColumn("length", F.explode(F.sequence(F.col("other") - EDITS, F.col("other") + EDITS)))
+    mine = dealt(odd.where(length <= LONGEST), n)
+    if m * WORDS <= SENT:
+        both = mine.join(F.broadcast(theirs), "length")
+    else:
+        both = mine.join(theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("shuffle_hash"), ["length", "part"])
+    return both.select("length", "words", "other", "nears").mapInArrow(_met, "word string, near string")
+
+
 @F.pandas_udf(DoubleType())
 def likeness(near: pd.Series, word: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(near, word, strict=True)], dtype=float)
@@ -167,16 +240,19 @@ def likeness(near: pd.Series, word: pd.Series) -> pd.Series:
 def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, fixed) of distinct lower-case words that are frequent misspellings or have one nearest word in a dictionary (word).
 
-    Of the parts of a word, one more than the edits that are allowed, one lies whole in any word that is so near, moved by
-    no more places than there are edits; lengths, parts and places are what words are joined on. Of the two likest the first is taken, unless the second needs no more edits. Words farther away are never looked at.
+    Words that are near and like enough share most of their letters in order, so they agree in something that is left of both
+    without the others. Of the parts of a longer word, one more than the edits that are allowed, one lies whole in any word that
+    is so near, moved by no more places than there are edits; lengths, parts and places are what these are joined on. Of the two
+    likest the first is taken, unless the second needs no more edits. Words farther away are never looked at.
     """
     table = F.create_map(*(F.lit(x) for pair in TYPOS.items() for x in pair))
     known = words.select("word", F.try_element_at(table, F.col("word")).alias("fixed"))
-    dictionary = dictionary.select("word").distinct()
-    odd = known.where(F.col("fixed").isNull() & (F.char_length("word") >= LEAST_LENGTH)).select("word").join(dictionary, "word", "left_anti")
+    dictionary = cut(dictionary.select("word").distinct())
+    odd = cut(known.where(F.col("fixed").isNull() & (F.char_length("word") >= LEAST_LENGTH)).select("word").join(dictionary, "word", "left_anti"))
     far = F.levenshtein("word", "near", EDITS)  # -1 beyond
-    met = _keys(odd, "word", looked_for).join(_keys(dictionary, "near", found_under), "key")
-    near = met.where((far >= 0) & (far <= F.when(F.char_length("word") <= SHORT, EDITS_SHORT).otherwise(EDITS)))
+    long = _keys(odd.where(F.char_length("word") > LONGEST), "word", looked_for).hint("shuffle_hash")
+    met = _keys(dictionary.where(F.char_length("word") > LONGEST - EDITS), "near", found_under).join(long, "key").select("word", "near")
+    near = met.unionAll(_short(odd, dictionary)).where((far >= 0) & (far <= F.when(F.char_length("word") <= SHORT, EDITS_SHORT).otherwise(EDITS)))
     pairs = near.select("word", "near").distinct().withColumn("edits", far).withColumn("like", likeness("near", "word")).where(F.col("like") >= LIKENESS)
     w = Window.partitionBy("word").orderBy(F.desc("like"), F.desc("near"))
     first = pairs.withColumn("nth", F.row_number().over(w)).withColumn("next", F.lead("edits").over(w)).where("nth = 1 and (next is null or next > edits)")
@@ -186,13 +262,13 @@ def corrections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 def correct(texts: DataFrame, dictionary: DataFrame, protected: list[str] | None = None) -> DataFrame:
     """(id, text, n_fixed) of texts (id, text): each token corrected but for its last marks. Null texts stay null."""
     protected = [p.lower() for p in protected or []]
-    tokens = texts.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("t")).select("id", _bare(F.col("t")).alias("b"))
-    used = tokens.where(_open(F.col("b"), protected)).select("id", F.lower("b").alias("word")).distinct()
-    fixes = corrections(used.select("word").distinct(), dictionary)
+    bare = F.filter(F.transform(F.split("text", r"\s+"), _bare), lambda b: _open(b, protected))
+    used = cut(texts.select("id", F.explode(F.array_distinct(F.transform(bare, F.lower))).alias("word")).distinct())
+    fixes = cut(corrections(used.select("word").distinct(), dictionary))
     each = used.join(fixes, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("fixes"))
-    parts = F.regexp_extract_all("text", F.lit(r"\s+|\S+"), F.lit(0))
-    fixed = lambda t: F.when(_open(_bare(t), protected), F.try_element_at(F.col("fixes"), F.lower(_bare(t))))
-    put = lambda t: F.coalesce(F.concat(fixed(t), F.regexp_extract(t, _END, 0)), t)
-    rows = texts.select("id", "text").join(each, "id", "left")
-    count = F.size(F.filter(parts, lambda t: fixed(t).isNotNull()))
-    return rows.select("id", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, put), "")).alias("text"), F.when(F.col("fixes").isNull(), 0).otherwise(count).alias("n_fixed"))
+    parts = F.regexp_extract_all(F.when(F.col("fixes").isNotNull(), F.col("text")), F.lit(r"\s+|\S+"), F.lit(0))
+    fix = lambda t: F.try_element_at(F.col("fixes"), F.lower(_bare(t)))
+    fixed = lambda t: F.when(fix(t).isNotNull() & _open(_bare(t), protected), F.concat(fix(t), F.regexp_extract(t, _END, 0)))
+    rows = texts.select("id", "text").join(each, "id", "left").select("id", "text", F.transform(parts, lambda t: F.struct(t.alias("t"), fixed(t).alias("new"))).alias("parts"))
+    put = F.array_join(F.transform("parts", lambda p: F.coalesce(p["new"], p["t"])), "")
+    return rows.select("id", F.when(F.col("parts").isNull(), F.col("text")).otherwise(put).alias("text"), F.when(F.col("parts").isNull(), 0).otherwise(F.size(F.filter("parts", lambda p: p["new"].isNotNull()))).alias("n_fixed"))
